@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import encode as E
+from docquarry.llm import nearest as N
 from docquarry.tables import table
 
 
@@ -12,5 +13,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return E.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return N.mutual_pairs(N.neighbours(table(spark, d, "ncd_text_chunk_embedding"), min_cos=0.9, target=1.0))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return N.neighbours(table(spark, d, "ncd_text_chunk_embedding"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
