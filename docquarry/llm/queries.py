@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
+from docquarry.llm import canonical as C
 from docquarry.llm import encode as E
 from docquarry.llm import nearest as N
+from docquarry.llm import split as S
 from docquarry.tables import table
 
 
@@ -21,5 +25,27 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return N.neighbours(table(spark, d, "ncd_text_chunk_embedding"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return S.cut_levels(table(spark, d, "ncd_text_chunk"))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return S.split(table(spark, d, "ncd_text_chunk"))
+
+
+def _entered(spark: SparkSession, d: str) -> DataFrame:
+    findings, studies = table(spark, d, "ncd_finding"), table(spark, d, "tox_study_summary")
+    values = [C.entries(findings, f, "id") for f in ("finding_term", "organ")] + [C.entries(studies, f, "study_id") for f in ("species", "route")]
+    return reduce(DataFrame.unionByName, values)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return C.denoted(_entered(spark, d), table(spark, d, "ref_term"))
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return C.unmatched(_entered(spark, d), table(spark, d, "ref_term"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
