@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import canonical as C
 from docquarry.llm import encode as E
+from docquarry.llm import incremental as I
 from docquarry.llm import nearest as N
 from docquarry.llm import split as S
 from docquarry.tables import table
@@ -47,5 +48,13 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return C.unmatched(_entered(spark, d), table(spark, d, "ref_term"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p8_ids": p8_ids}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return I.same_file_pairs(I.classes(I.load(table(spark, d, "ncd_source_document"))))
+
+
+def p7_batches(spark: SparkSession, d: str) -> DataFrame:
+    return I.batch_report(I.classes(I.load(table(spark, d, "ncd_source_document"))))
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_batches": p7_batches, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
