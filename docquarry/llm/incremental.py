@@ -23,6 +23,9 @@ from docquarry.llm.canonical import distance
 #: Fixed value: the SHA-256 of no bytes at all, which proves nothing.
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
+#: Chance that two different files have the same SHA-256.
+CHANCE_HASH = 2.0**-256
+
 #: A title is canonical if at least this share of the named records has it (so there are at most 1 / share).
 TITLE_SHARE, TITLE_LEAST = 0.001, 3
 
@@ -159,7 +162,8 @@ def learn_weights(records: DataFrame) -> Weights:
 
     Among records with equal hashes (surely the same file) the share of pairs that agree
     in a field gives m; the sum of squared shares of the field's values gives u. For the
-    hash itself m comes from records with equal study, title and version.
+    hash itself m comes from records with equal study, title and version, and u is that
+    of the digest, so that equal hashes outweigh any disagreement of names.
     """
     pairs = lambda c: c * (c - 1) / 2
 
@@ -175,7 +179,10 @@ def learn_weights(records: DataFrame) -> Weights:
         return math.log(m / u), math.log(max(1 - m, 1e-3) / (1 - u))
 
     name = ["study", "title", "version"]
-    return Weights(chance(name, "hash"), *(chance(["hash"], f) for f in name))
+    agree, differ = chance(name, "hash")
+    # other files share a 256-bit digest with probability 2**-256, whatever share of the records are copies
+    shares = math.log(CHANCE_HASH)
+    return Weights((agree + max(0.0, -shares - agree), differ), *(chance(["hash"], f) for f in name))
 
 
 @dataclass(frozen=True)
