@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.operators import orphans as O
+from docquarry.operators import units as U
 from docquarry.tables import table
 
 
@@ -28,6 +29,22 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return O.orphan_counts(O.orphans(parent, refs), refs)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return U.same_quantity(*(table(spark, d, n) for n in ("ncd_exposure_metric", "ncd_dose_group", "tox_study_summary", "ref_term", "ref_unit")))
+
+
+def p2_exposures(spark: SparkSession, d: str) -> DataFrame:
+    return U.exposure_values(*(table(spark, d, n) for n in ("ncd_exposure_metric", "tox_study_summary", "ref_term", "ref_unit")))
+
+
+def p2_doses(spark: SparkSession, d: str) -> DataFrame:
+    return U.dose_values(*(table(spark, d, n) for n in ("ncd_dose_group", "tox_study_summary", "ref_term", "ref_unit")))
+
+
+def p2_inferred(spark: SparkSession, d: str) -> DataFrame:
+    return U.inferred_units(p2_exposures(spark, d), table(spark, d, "ref_unit"), p2_doses(spark, d))
+
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
 _CLEAN = "nullif(trim(lower({0}), " + _BLANKS + "), '')"
 _REFS = f"""
@@ -43,7 +60,7 @@ states as (
   select r.*, case when p.k is null then 'missing' when p.died <= r.t then 'deleted' when p.born > r.t then 'late' end as state
   from refs r left join parents p on p.parent = r.parent and p.k = r.ref_key where r.ref_key is not null)"""
 
-QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p2_found": p2_found, "p2_exposures": p2_exposures, "p2_doses": p2_doses, "p2_inferred": p2_inferred, "p6_found": p6_found, "p6_counts": p6_counts}
 SQL = {
     "p6_found": f"with {_REFS} select distinct table_name, field_name, record_id, ref_key, state from states where state is not null",
     "p6_counts": f"""with {_REFS} select table_name, field_name, strftime(t, '%Y-%m') as month, count(*) as n_refs,
