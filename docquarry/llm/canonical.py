@@ -9,7 +9,6 @@ qualifiers, inflection, changed word order and spelling don't hide a term.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,30 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def distance(a: str, b: str) -> int:
-    """Damerau-Levenshtein distance with unrestricted transpositions (a metric)."""
-    if a == b:
-        return 0
-    if not a or not b:
-        return len(a) + len(b)
-    last_row: dict[str, int] = {}
-    width = len(b) + 2
-    big = len(a) + len(b)
-    table = [[big] * width, [big, *range(len(b) + 1)]]
-    for i, x in enumerate(a, 1):
-        row, last_col = [big, i] + [0] * len(b), 0
-        before = table[i]
-        for j, y in enumerate(b, 1):
-            k = last_row.get(y, 0)
-            same = x == y
-            cost = min(before[j] + (not same), row[j] + 1, before[j + 1] + 1, table[k][last_col] + (i - k - 1) + 1 + (j - last_col - 1))
-            if same:
-                last_col = j
-            row[j + 1] = cost
-        table.append(row)
-        last_row[x] = i
-    return table[-1][-1]
+from docquarry.functions.edit import distance, plain_words
 
 
 class BKTree:
@@ -73,25 +49,12 @@ class BKTree:
         return found
 
 
-#: Digits that stand for letters in misread words.
-_DIGITS = str.maketrans({"0": "o", "1": "l", "5": "s", "8": "b", "6": "b", "9": "g"})
-
 #: Words of the trade that mean the same in names of findings.
 _SAME = {"reduced": "decreased", "lowered": "decreased", "lower": "decreased", "low": "decreased", "reduction": "decreased", "decrease": "decreased", "elevated": "increased", "raised": "increased", "higher": "increased", "elevation": "increased", "increase": "increased", "gl": "gland"}
 
-_WORD = re.compile(r"[^\W_]+")
-
-
 def words(value: str) -> list[str]:
-    """Lower-case words without accents, digits inside words as the letters they stand for."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)).lower()
-    plain = re.sub(r"(?<=[a-z])\.(?=[a-z]\b)\.?", "", plain)  # i.v. -> iv
-    out = []
-    for w in _WORD.findall(plain):
-        if any(c.isalpha() for c in w) and any(c.isdigit() for c in w) and len(w) > 2:
-            w = w.translate(_DIGITS)
-        out.append(_SAME.get(w, w))
-    return out
+    """Plain words, those that mean the same in one form."""
+    return [_SAME.get(w, w) for w in plain_words(value)]
 
 
 def _british(w: str) -> str:
@@ -172,7 +135,9 @@ def map_values(df: DataFrame, terms: DataFrame) -> DataFrame:
             found = [find(f.as_py(), v.as_py()) for f, v in zip(batch.column(0), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["field", "value", "term_id"])
 
-    return df.select("field", "value").distinct().mapInArrow(run, "field string, value string, term_id int")
+    # an explicit number of partitions, as a coalesced one would leave the search to a single task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select("field", "value").distinct().repartition(parts, "field", "value").mapInArrow(run, "field string, value string, term_id int")
 
 
 def entries(df: DataFrame, field: str, record_id: str) -> DataFrame:

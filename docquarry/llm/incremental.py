@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.cluster import checkpointed, stored
-from docquarry.llm.canonical import distance
+from docquarry.functions.edit import distance
 
 #: Fixed value: the SHA-256 of no bytes at all, which proves nothing.
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"

@@ -26,7 +26,7 @@ SAMPLE = 65_536
 #: Vectors a list should hold, replicas apart.
 LIST = 1_500
 #: Lists a vector stands in at most, and the largest ratio of its distance to their centroid and to the nearest.
-REPLICAS, REPLICA_RATIO = 2, 1.25
+REPLICAS, REPLICA_RATIO = 4, 1.25
 #: Lists a query looks into at most, and the largest ratio of distances.
 PROBES, PROBE_RATIO = 48, 1.6
 #: Members of one part of a list, and queries that meet them in one task.
@@ -47,7 +47,9 @@ class Index:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    wide = x.astype(np.float64)
+    wide /= np.abs(wide).max(axis=1, keepdims=True)  # else squares of tiny or huge values vanish or overflow
+    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
 def balanced_centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -171,7 +173,7 @@ def _place(index: Index, dim: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                vids, x = batch.column(0).to_numpy(), _vectors(batch.column(1), dim)
+                vids, x = batch.column(0).to_numpy(), _unit(_vectors(batch.column(1), dim))
                 lists, sims = find_lists(index, x, max(index.probes, index.replicas))
                 probe, member = _within(sims, PROBE_RATIO), _within(sims, REPLICA_RATIO)
                 probe[:, index.probes :], member[:, index.replicas :] = False, False
@@ -224,7 +226,7 @@ def _meet(dim: int, k: int, min_cos: float | None):
 
 
 def distinct_vectors(df: DataFrame, key: str, embedding: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Members (key, vid) and classes of equal vectors (vid, unit vec, first k + 1 keys).
+    """Members (key, vid) and classes of equal vectors (vid, vec, first k + 1 keys).
 
     A row counts once per key. Null, all-zero and not finite vectors, and those whose
     length isn't the most frequent one, are left out. ``vid`` is a 64-bit digest of the vector.
@@ -232,13 +234,12 @@ def distinct_vectors(df: DataFrame, key: str, embedding: str, k: int) -> tuple[D
     usable = df.select(F.col(key).cast("string").alias("key"), F.col(embedding).cast("array<float>").alias("raw")).where("key is not null and raw is not null").where(
         "size(raw) > 0 and not exists(raw, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(raw, x -> x <> 0)"
     )
-    once = usable.groupBy("key").agg(F.min("raw").alias("raw")).withColumn("raw", F.transform("raw", lambda x: x + F.lit(0.0).cast("float")))
+    once = usable.dropDuplicates(["key"])
     dims = once.groupBy(F.size("raw").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1)
     once = once.join(F.broadcast(dims.select("dim")), F.size("raw") == F.col("dim"), "left_semi").withColumn("vid", F.xxhash64("raw"))
     members = stored(once, "vectors")
     first = members.withColumn("n", F.row_number().over(W.partitionBy("vid").orderBy("key"))).where(F.col("n") <= k + 1)
-    unit = F.expr("transform(raw, x -> cast(x / sqrt(aggregate(raw, 0D, (a, y) -> a + cast(y as double) * y)) as float))")
-    classes = first.groupBy("vid").agg(F.first("raw").alias("raw"), F.array_sort(F.collect_list("key")).alias("keys")).select("vid", unit.alias("vec"), "keys")
+    classes = first.groupBy("vid").agg(F.first("raw").alias("vec"), F.array_sort(F.collect_list("key")).alias("keys"))
     return members.select("key", "vid"), classes
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from docquarry.llm import canonical as C
 from docquarry.llm import encode as E
 from docquarry.llm import incremental as I
+from docquarry.llm import mixture as M
 from docquarry.llm import nearest as N
 from docquarry.llm import split as S
+from docquarry.llm import truncated as T
 from docquarry.tables import table
 
 
@@ -56,5 +58,25 @@ def p7_batches(spark: SparkSession, d: str) -> DataFrame:
     return I.batch_report(I.classes(I.load(table(spark, d, "ncd_source_document"))))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_batches": p7_batches, "p8_ids": p8_ids}
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return M.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return M.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return T.find(table(spark, d, "documents"))[1].select("doc_id")
+
+
+def p10_limits(spark: SparkSession, d: str) -> DataFrame:
+    return T.limits(T.inspect(table(spark, d, "documents")))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return T.shares(*T.find(table(spark, d, "documents")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_batches": p7_batches, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_limits": p10_limits, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
