@@ -11,6 +11,7 @@ from docquarry.llm import encode as E
 from docquarry.llm import incremental as I
 from docquarry.llm import mixture as M
 from docquarry.llm import nearest as N
+from docquarry.llm import pages as P
 from docquarry.llm import split as S
 from docquarry.llm import truncated as T
 from docquarry.tables import table
@@ -20,6 +21,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return E.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return P.line_kinds(table(spark, d, "ncd_document_page"))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return P.paragraphs(table(spark, d, "ncd_document_page"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return N.mutual_pairs(N.neighbours(table(spark, d, "ncd_text_chunk_embedding"), min_cos=0.9, target=1.0))
 
@@ -78,5 +87,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return T.shares(*T.find(table(spark, d, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_batches": p7_batches, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_limits": p10_limits, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_batches": p7_batches, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_limits": p10_limits, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
