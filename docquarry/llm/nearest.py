@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from docquarry.cluster import stored
 
 #: Bound of the sample on which centroids and probes are fitted (rows).
-SAMPLE = 65_536
+SAMPLE = 32_768
 #: Vectors a list should hold, replicas apart.
 LIST = 1_500
 #: Lists a vector stands in at most, and the largest ratio of its distance to their centroid and to the nearest.
@@ -111,9 +111,9 @@ def find_lists(index: Index, queries: np.ndarray, k: int) -> tuple[np.ndarray, n
         sorted_ids = more[row, order]
         again[row, order[:, 1:]] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
         new &= ~again
-        seen[row, more] |= new
         s = np.full(more.shape, -9, np.float32)
         r, c = np.nonzero(new)
+        seen[r, more[r, c]] = True
         s[r, c] = np.einsum("ij,ij->i", queries[r], index.centroids[more[r, c]])
         ids, sims, fresh = np.concatenate([ids, more], 1), np.concatenate([sims, s], 1), np.concatenate([fresh, new], 1)
     top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
@@ -126,28 +126,41 @@ def _within(sims: np.ndarray, ratio: float) -> np.ndarray:
     return d <= ratio * np.maximum(d[:, :1], 1e-3)
 
 
+def _all_lists(centroids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest REPLICAS lists by looking at all centroids (for the sample only)."""
+    sims, k = x @ centroids.T, min(REPLICAS, len(centroids))
+    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+    return near, np.take_along_axis(sims, near, 1)
+
+
 def fit(sample: np.ndarray, total: int, k: int, min_cos: float | None, target: float, seed: int = 7) -> Index:
     """Centroids, graph and the fewest probes that reach ``target`` recall on held-out queries of the sample."""
     n = max(1, min(len(sample) // 8 or 1, math.ceil(total / LIST)))
     centroids = balanced_centroids(sample, n, seed=seed)
     graph, entries = centroid_graph(centroids, seed=seed)
     index = Index(centroids, graph, entries, n, np.ones(n, np.int64), np.ones(n, np.int64))
-    lists, sims = zip(*(find_lists(index, block, REPLICAS) for block in np.array_split(sample, len(sample) // 2048 + 1)), strict=True)
+    lists, sims = zip(*(_all_lists(centroids, block) for block in np.array_split(sample, len(sample) // 2048 + 1)), strict=True)
     lists, sims = np.concatenate(lists), np.concatenate(sims)
     held = _within(sims, REPLICA_RATIO)
     sizes = np.bincount(lists[held], minlength=n) * (total / len(sample))
     index.parts = np.maximum(1, np.ceil(sizes / PART)).astype(np.int64)
     rng = np.random.default_rng(seed)
     q = rng.choice(len(sample), min(512, len(sample)), replace=False)
-    exact = sample[q] @ sample.T
-    exact[np.arange(len(q)), q] = -9
-    top = np.argsort(-exact, axis=1)[:, :k]
-    wanted = np.take_along_axis(exact, top, 1) > -2
-    if min_cos is not None and (near := wanted & (np.take_along_axis(exact, top, 1) >= min_cos)).sum() >= 100:
+    top, best = [], []
+    for rows in np.array_split(q, len(q) // 64 + 1):
+        exact = sample[rows] @ sample.T
+        exact[np.arange(len(rows)), rows] = -9
+        m = min(k, exact.shape[1])
+        top.append(np.argpartition(-exact, m - 1, axis=1)[:, :m])
+        best.append(np.take_along_axis(exact, top[-1], 1))
+    top, best = np.concatenate(top), np.concatenate(best)
+    wanted = best > -2
+    if min_cos is not None and (near := wanted & (best >= min_cos)).sum() >= 100:
         wanted = near
     probed, psims = find_lists(index, sample[q], min(n, PROBES))
     probed = np.where(_within(psims, PROBE_RATIO), probed, -1)
-    for p in range(1, probed.shape[1] + 1):
+    for p in range(min(2, probed.shape[1]), probed.shape[1] + 1):
         hit = ((np.where(held[top], lists[top], -2)[:, :, :, None] == probed[:, None, None, :p]).any((2, 3)))[wanted]
         index.probes = p
         if not len(hit) or hit.mean() >= target:
