@@ -35,6 +35,8 @@ def ratio(word: str) -> int:
 
 #: Lines looked at on either edge of a page (blank ones apart), and the longest line of a page with layout.
 EDGE, WIDEST = 3, 130
+#: Words of a running header or footer at most (spaced letters apart).
+HEADER_WORDS = 7
 
 _WORD = re.compile(r"[^\W_]+(?:\|[^\W_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:[|'’][^\W_]+)*(?:-[^\W_]+)*")
@@ -139,7 +141,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if has_layout(lines):
                 at = {i for i, _ in edges(lines)}
                 for i, line in enumerate(lines):
-                    if line.strip() and len(line) <= 80:
+                    if line.strip() and len(line) <= 80 and len(line.split()) <= HEADER_WORDS:
                         s = skeleton(line)
                         for form in {s, "* " + s.partition(" ")[2]}:
                             counts["e" if i in at else "y", form] += 1
@@ -190,6 +192,7 @@ class Vocabulary:
     furniture: frozenset[str]
     pages: int
     looks: dict[str, list[str]] = field(default_factory=dict)
+    plain: frozenset[str] = frozenset()
     by_parts: dict[int, list[str]] = field(default_factory=dict)
     trie: Trie | None = None
     cache: dict[str, tuple[str | None, bool]] = field(default_factory=dict)
@@ -201,6 +204,8 @@ class Vocabulary:
                 if n >= floor and not w.isdigit():
                     for x in looks_of(w):
                         self.looks.setdefault(x, []).append(w)
+            # words in use that look like no other need no second look
+            self.plain = frozenset(w for w, n in self.words.items() if n >= floor and w.isalpha() and len(w) > 1 and all(self.looks[x] == [w] for x in looks_of(w)))
             for f in sorted(self.furniture):
                 self.by_parts.setdefault(f.count(" "), []).append(f)
             self.trie = Trie(w for w, n in self.words.items() if n >= max(floor, RATIO) and len(w) >= 6 and w.isalpha())
@@ -333,7 +338,7 @@ def document_forms(pages: DataFrame) -> DataFrame:
 
 def gather(pages: DataFrame) -> Vocabulary:
     """The vocabulary of all pages. What comes to the driver is bounded by SHARE, not by the corpus."""
-    counts = stored(pages.select("text").mapInArrow(_counted, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = stored(_spread(pages.select("text")).mapInArrow(_counted, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     total = (counts.where("kind = 't'").agg(F.sum("n")).first()[0] or 0)
     n_pages = pages.where("text is not null").count()
     least = max(LEAST_PAGES, SHARE * total)
@@ -363,7 +368,9 @@ class Line:
 def _stamp(line: str) -> bool:
     """Specks (no letters or digits) and stamps (a few capitals, perhaps spaced out, alone on a line)."""
     s = line.strip()
-    if len(s) >= 9 and all(len(t) == 1 for t in s.split()):
+    if len(s) > 60:
+        return False
+    if len(s) >= 9 and s[1] == " " and all(len(t) == 1 for t in s.split()):
         s = "".join(s.split())
     if not any(c.isalnum() for c in s):
         return len(s) <= 20
@@ -384,7 +391,7 @@ def is_furniture(line: str, at_edge: bool, last: bool, alone: bool, page: int |
         # documents of one page show no sequence
         return last and alone and (number[0] == "i" or number[1] < 1000) and not any(f[:1] in "#i" and f[1:].lstrip("-").isdigit() for f in forms)
     s = skeleton(line)
-    short = len(line.split()) <= 7 and not re.search(r"[.;,-]\s*$", line)
+    short = len(line.split()) <= HEADER_WORDS and not re.search(r"[.;,-]\s*$", line)
     if _PAGED.match(s) or s in v.furniture or (s in forms and short):
         return True
     starred = "* " + s.partition(" ")[2]
@@ -481,7 +488,7 @@ def read_page(text: str | None, page: int | None, forms: frozenset[str], v: Voca
         inner = spans[first : len(spans) - 1 if line.divided else len(spans)]
         codes = [m.span() for m in _CODE.finditer(line.text)] if "-" in line.text else []
         for n, (a, b, token) in enumerate(inner):
-            if token.isdigit():
+            if token.isdigit() or token.lower() in v.plain:
                 continue
             inside = next((c for c in codes if c[0] <= a and b <= c[1]), None)
             if inside:  # of a code only the digits can be judged
@@ -514,11 +521,16 @@ def _pages(df: DataFrame, doc: str, page: str, key: str, text: str) -> DataFrame
     return df.select(F.col(key).cast("bigint").alias("page_id"), F.col(doc).cast("string").alias("doc"), F.col(page).cast("int").alias("page"), F.col(text).cast("string").alias("text"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows in even partitions, as many as a shuffle has: files and joins may leave the work to a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _read(pages: DataFrame, schema: str, emit) -> DataFrame:
     """Run ``emit`` over the lines of every page, with the corpus' vocabulary and the document's forms."""
     vocabulary = gather(pages)
     sent = pages.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by SHARE
-    joined = pages.join(document_forms(pages), "doc", "left").select("page_id", "doc", "page", "text", "forms")
+    joined = _spread(pages.join(document_forms(pages), "doc", "left").select("page_id", "doc", "page", "text", "forms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value.prepare()
