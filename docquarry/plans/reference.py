@@ -14,6 +14,7 @@ from docquarry.operators import sections as S
 from docquarry.operators import studies as P
 from docquarry.operators import tables as B
 from docquarry.operators import vectors as N
+from docquarry.streaming import jobs as J
 from docquarry.tables import table
 
 QUERIES: dict = {}
@@ -457,8 +458,8 @@ def line_offsets(documents):
 
 
 @query()
-def section_spans(documents):
-    return S.section_spans(documents, "doc_id", "text")
+def section_spans(ncd_document_page):
+    return S.section_spans(ncd_document_page.select("id", "text").dropDuplicates(["id"]), "id", "text")
 
 
 @query()
@@ -494,3 +495,33 @@ def section_gaps(ncd_text_chunk, ncd_source_document):
     need = ncd_text_chunk.sparkSession.createDataFrame([(s,) for s in ("4.2.1", "4.2.2", "4.2.3", "4.2.3.1", "4.2.3.7")], "sec string")
     chunks = ncd_text_chunk.select(X.section_label("section_label").alias("s"))
     return Q.section_gaps(need, "sec", {"chunks": (chunks, "s", False), "files": (ncd_source_document, "ctd_section", False)})
+
+
+# Streams, run over what is available
+
+
+def _stream(f, sql):
+    QUERIES[f.__name__], SQL[f.__name__] = f, sql
+
+
+def streamed_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = J.run_available(J.windowed_counts(J.read_events(spark, d)), "complete")
+    return out.select("event_type", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", F.round("total", 4).alias("total"))
+
+
+_stream(streamed_hourly_counts, "select event_type, strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as hour, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+
+
+def streamed_latest_status(spark: SparkSession, d: str) -> DataFrame:
+    events = J.read_events(spark, d)
+    message = F.to_json(F.struct(F.struct(F.col("user_id").cast("string").alias("id")).alias("document"), F.col("event_type").alias("stage"), F.concat(F.lit("s"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("status"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at")))
+    out = J.run_available(J.latest_stage_status(J.stage_updates(events.select(message.alias("value")))), "complete")
+    return out.select("document_id", "stage", "status")
+
+
+_stream(streamed_latest_status, "select cast(user_id as varchar) as document_id, event_type as stage, 's' || lpad(cast(event_id as varchar), 9, '0') as status from events qualify row_number() over (partition by user_id, event_type order by date_trunc('second', ts) desc, event_id desc) = 1")
+
+
+@query()
+def rate_limited_events(events):
+    return J.limited(events, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "event_id", 3, 86_400.0)
