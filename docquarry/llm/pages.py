@@ -602,7 +602,7 @@ def paragraphs(df: DataFrame, doc: str = "source_document_id", page: str = "page
     parts = stored(parts.dropDuplicates(["page_id", "at"]), "paragraphs")
     w = W.partitionBy("doc").orderBy("page", "page_id", "at")
     open_ = ~F.coalesce(F.lag(F.col("text")).over(w), F.lit(".")).rlike(r"[.!?:。)\]|]\s*$")
-    narrow = parts.select("page_id", "doc", "page", "at", "continues", F.coalesce(F.lag("divided").over(w), F.lit(False)).alias("after"), open_.alias("open"))
+    narrow = parts.select("page_id", "doc", "page", "at", "continues", (F.coalesce(F.lag("divided").over(w), F.lit(False)) & F.col("continues")).alias("after"), open_.alias("open"))
     starts = narrow.withColumn("number", F.sum(F.when(((F.col("at") == 0) & (F.col("continues") | F.col("after") | F.col("open"))), 0).otherwise(1)).over(w))
     ordered = parts.join(starts.select("page_id", "at", "number", "after"), ["page_id", "at"])
     piece = F.struct("page", "page_id", "at", F.when(F.col("after"), F.lit("")).otherwise(F.lit(" ")).alias("gap"), "text")
