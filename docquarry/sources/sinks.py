@@ -20,8 +20,9 @@ def save_table(df: DataFrame, path: str) -> DataFrame:
     text.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     text.write.mode("overwrite").json(f"{path}/json")
     saved = df.sparkSession.read.schema(text.schema).json(f"{path}/json")
-    preview = saved.limit(10).agg(F.collect_list(F.to_json(F.struct("*"))).alias("preview"))
-    return saved.agg(F.count("*").alias("n_rows")).crossJoin(preview).select(F.lit(path).alias("path"), F.array(*[F.lit(c) for c in text.columns]).alias("columns"), "n_rows", "preview")
+    preview = [r["r"] for r in saved.limit(10).select(F.to_json(F.struct("*")).alias("r")).collect()]
+    shown = F.array(*[F.lit(x) for x in preview]).cast("array<string>")
+    return saved.agg(F.count("*").alias("n_rows")).select(F.lit(path).alias("path"), F.array(*[F.lit(c) for c in text.columns]).alias("columns"), "n_rows", shown.alias("preview"))
 
 
 def markdown_documents(pages: DataFrame, key: str, tables: DataFrame | None = None) -> DataFrame:
