@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from docquarry.cluster import stored
 from docquarry.llm.encode import TOKENIZERS, encode_text
@@ -39,9 +40,10 @@ def rates(texts: DataFrame, target: DataFrame) -> DataFrame:
     goal = target.select(F.col("source").cast("string").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeat").cast("int").alias("max_repeat")).dropDuplicates(["source"])
     joined = goal.join(have, "source", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0))).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
     usable = (F.col("n_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeat") > 0)
-    total = joined.where(usable).agg(F.min(F.col("max_repeat") * F.col("n_tokens") / F.col("target_share")).alias("total"))
+    # one row per target source, so a single window over them is small
+    total = F.min(F.when(usable, F.col("max_repeat") * F.col("n_tokens") / F.col("target_share"))).over(W.partitionBy())
     rate = F.when(usable, F.least(F.round(F.col("target_share") * F.col("total") / F.col("n_tokens"), 9), F.col("max_repeat").cast("double"))).otherwise(0.0)
-    return joined.crossJoin(F.broadcast(total)).withColumn("rate", rate).drop("total")  # total is one row
+    return joined.withColumn("total", total).withColumn("rate", rate).drop("total")
 
 
 def mix(df: DataFrame, target: DataFrame, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
@@ -61,6 +63,5 @@ def mix(df: DataFrame, target: DataFrame, seed: int = 17, key: str = "doc_id", t
     mixed = texts.join(rate.select("source", "rate"), "source").withColumn("copies", copies).where("copies > 0").select(key, "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "n_tokens")
     got = mixed.groupBy("source").agg(F.count("*").alias("n_emitted"), F.sum("n_tokens").alias("tokens_emitted"))
     sums = rate.join(got, "source", "left").withColumn("n_emitted", F.coalesce("n_emitted", F.lit(0))).withColumn("tokens_emitted", F.coalesce("tokens_emitted", F.lit(0)))
-    whole = got.agg(F.sum("tokens_emitted").alias("whole"))
-    report = sums.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("whole") > 0, F.round(F.col("tokens_emitted") / F.col("whole"), 6)).otherwise(0.0)).drop("whole")
+    report = sums.withColumn("whole", F.sum("tokens_emitted").over(W.partitionBy())).withColumn("actual_share", F.when(F.col("whole") > 0, F.round(F.col("tokens_emitted") / F.col("whole"), 6)).otherwise(0.0)).drop("whole")
     return mixed, report
