@@ -289,7 +289,7 @@ def classes(state: State) -> DataFrame:
     return state.members.join(state.mapping, "rep", "left").select("id", "batch_no", F.coalesce("root", "rep").alias("class_id"))
 
 
-def load(df: DataFrame, single: int = 2) -> State:
+def load(df: DataFrame, single: int = 1) -> State:
     """History of a whole table: the backlog in one step, the last ``single`` batches one by one."""
     records = stored(described(df), "records")
     batches = sorted(r[0] for r in records.select("batch_no").distinct().collect() if r[0] is not None)
