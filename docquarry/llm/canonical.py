@@ -135,9 +135,9 @@ def map_values(df: DataFrame, terms: DataFrame) -> DataFrame:
             found = [find(f.as_py(), v.as_py()) for f, v in zip(batch.column(0), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["field", "value", "term_id"])
 
-    # an explicit number of partitions, as a coalesced one would leave the search to a single task
+    # even partitions in an explicit number, as coalesced ones would leave the search to a single task
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select("field", "value").distinct().repartition(parts, "field", "value").mapInArrow(run, "field string, value string, term_id int")
+    return df.select("field", "value").distinct().repartition(parts).mapInArrow(run, "field string, value string, term_id int")
 
 
 def entries(df: DataFrame, field: str, record_id: str) -> DataFrame:
