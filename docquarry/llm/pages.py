@@ -27,6 +27,8 @@ from docquarry.functions.edit import distance
 SHARE, LEAST_PAGES = 1e-6, 3
 #: A word is taken for a misreading of a look-alike that is at least so many times as frequent (the longer the word, the surer).
 RATIO = 40
+#: The same for a misreading that is no look-alike.
+EDIT_RATIO = 5 * RATIO
 
 
 def ratio(word: str) -> int:
@@ -53,6 +55,11 @@ _AS_LETTER = str.maketrans({"0": "o", "1": "l", "5": "s", "9": "g", "8": "b", "6
 #: Groups of letters that look like one letter, and letters that look alike.
 _GROUPS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("li", "h"))
 _LIKE = str.maketrans({"l": "i", "j": "i", "a": "o", "e": "c", "t": "f", "b": "h", "q": "g", "y": "v"})
+#: Looks of the groups of letters, and the letters that may begin one.
+_GROUP_LOOKS = {group: letter.translate(_LIKE) for group, letter in _GROUPS}
+_OPENING = frozenset(group[0] for group, _ in _GROUPS)
+#: Cost of an edit, in confusions: a candidate's cost is EDIT x edits + confusions.
+EDIT = 64
 
 
 @lru_cache(maxsize=200_000)
@@ -153,7 +160,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """Words in a trie; ``within`` intersects it with the Levenshtein automaton of a word."""
+    """Words in a trie; ``within`` intersects it with the Levenshtein automaton of a word, ``near`` with one that knows confusions."""
 
     def __init__(self, words: Iterator[str]):
         self.root: dict = {}
@@ -163,6 +170,38 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
+    def near(self, word: str, edits: int) -> list[tuple[int, str]]:
+        """Cost and entry within ``edits`` edits and any confusions of recognition (fewer than EDIT).
+
+        The automaton's state is the row of costs with that before it, as a group of two
+        letters may stand for one on either side.
+        """
+        w = word.translate(_AS_LETTER)
+        like = w.translate(_LIKE)
+        groups = [None, None, *(_GROUP_LOOKS.get(w[j - 2 : j]) for j in range(2, len(w) + 1))]
+        most = EDIT * edits + EDIT - 1
+        found, open_ = [], [(self.root, [EDIT * j for j in range(len(w) + 1)], None, "")]
+        while open_:
+            node, row, last, before = open_.pop()
+            if "" in node and row[-1] <= most:
+                found.append((row[-1], node[""]))
+            for c, child in node.items():
+                if c == "":
+                    continue
+                alike, group = c.translate(_AS_LETTER).translate(_LIKE), _GROUP_LOOKS.get(before + c) if last else None
+                new = [row[0] + EDIT]
+                for j, x in enumerate(word, 1):
+                    cost = row[j - 1] + (0 if c == x else 1 if alike == like[j - 1] else EDIT)
+                    cost = min(cost, row[j] + EDIT, new[j - 1] + EDIT)
+                    if groups[j] == alike:
+                        cost = min(cost, row[j - 2] + 1)
+                    if group == like[j - 1]:
+                        cost = min(cost, last[j - 1] + 1)
+                    new.append(cost)
+                if min(new) <= most or (c in _OPENING and min(row) < most):
+                    open_.append((child, new, row, c))
+        return found
+
     def within(self, word: str, radius: int) -> list[tuple[int, str]]:
         """Every entry within ``radius`` edits: the automaton's state is the row of distances, dead where all exceed the radius."""
         found, open_ = [], [(self.root, list(range(len(word) + 1)))]
@@ -204,8 +243,9 @@ class Vocabulary:
                 if n >= floor and not w.isdigit():
                     for x in looks_of(w):
                         self.looks.setdefault(x, []).append(w)
-            # words in use that look like no other need no second look
-            self.plain = frozenset(w for w, n in self.words.items() if n >= floor and w.isalpha() and len(w) > 1 and all(self.looks[x] == [w] for x in looks_of(w)))
+            # words that look like no other, and that no word is frequent enough to replace, need no second look
+            most = max(self.words.values(), default=0)
+            self.plain = frozenset(w for w, n in self.words.items() if n >= floor and n * min(EDIT_RATIO, ratio(w)) > most and w.isalpha() and len(w) > 1 and all(self.looks[x] == [w] for x in looks_of(w)))
             for f in sorted(self.furniture):
                 self.by_parts.setdefault(f.count(" "), []).append(f)
             self.trie = Trie(w for w, n in self.words.items() if n >= max(floor, RATIO) and len(w) >= 6 and w.isalpha())
@@ -246,13 +286,14 @@ class Vocabulary:
         mates = [m for x in looks_of(w) for m in self.looks.get(x, []) if m != w and self.count(m) >= ratio(w) * max(own, 0.5)]
         if mates:
             return max(mates, key=lambda m: (self.count(m), m))
-        if part or own >= LEAST_PAGES or len(w) < 6 or not any(c.isalpha() for c in w):
+        if part or len(w) < 6 or not any(c.isalpha() for c in w):
             return None
         best = None
-        for d, m in self.trie.within(w, 2 if len(w) > 8 else 1):
-            a, b = look(w), look(m)
-            if d and self.count(m) >= 5 * RATIO and abs(len(a) - len(b)) <= 1 and _one_apart(a, b) and not (m.startswith(w) or w.startswith(m)):
-                best = max(best or (-d, self.count(m), m), (-d, self.count(m), m))
+        for cost, m in self.trie.near(w, 1):
+            edits, n = cost // EDIT, self.count(m)
+            # a prefix is an inflection or the part of a word, and short words are an edit from other words
+            if cost and n >= (EDIT_RATIO if edits else ratio(w)) * max(own, 0.5) and not (edits and (len(m) < 6 or m.startswith(w) or w.startswith(m))):
+                best = max(best or (-cost, n, m), (-cost, n, m))
         return best[2] if best else None
 
     def by_context(self, before: str | None, word: str, after: str | None) -> str | None:
@@ -266,17 +307,6 @@ class Vocabulary:
         return mate if best >= 20 and best >= RATIO * max(own, 0.5) else None
 
 
-def _one_apart(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    return a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i + 1 :]
-
-
 #: Fixed value: lower-case Roman numerals of page numbers.
 _ROMAN = re.compile(r"^(?=[ivxl])(x{0,3}|xl|l)(ix|iv|v?i{0,3})$")
 _PAGED = re.compile(r"^(?:[-–—]\s*#\s*[-–—]|(?:page|p\s*\.?|pg\s*\.?)\s*#(?:\s*(?:of|/)\s*#)?|#\s*/\s*#|#\s*of\s*#|§\s*\.\s*#)$".replace("page", look("page")).replace("of", look("of")))

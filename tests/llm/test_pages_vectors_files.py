@@ -34,6 +34,18 @@ def test_looks():
     assert not same("rat", "dog")
 
 
+def vocabulary(words, pairs=None):
+    return P.Vocabulary(words, pairs or {}, {}, {}, frozenset(), max(words.values())).prepare()
+
+
+def test_recurring_misreadings_are_looked_up():
+    for times in (1, 10):
+        v = vocabulary({"moderately": 1300 * times, "moderatcly": 5 * times, "channel": 1460 * times, "channcl": 3 * times, "deviation": 2900 * times, "deviations": 30 * times})
+        assert v.meant("moderatcly") == "moderately" and v.meant("channcl") == "channel"
+        assert not {"moderatcly", "channcl"} & v.plain
+        assert v.meant("deviations") is None and v.meant("moderately") is None
+
+
 BODY = "The animals of the control group were given the vehicle once daily and the dosing was without effect on food consumption of the animals in the study group"
 
 
