@@ -9,6 +9,7 @@ known by what stands at page edges all over the corpus, or again and again in th
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -230,25 +231,16 @@ class Vocabulary:
     first_parts: dict[str, int]
     furniture: frozenset[str]
     pages: int
-    looks: dict[str, list[str]] = field(default_factory=dict)
-    plain: frozenset[str] = frozenset()
     by_parts: dict[int, list[str]] = field(default_factory=dict)
     trie: Trie | None = None
     cache: dict[str, tuple[str | None, bool]] = field(default_factory=dict)
+    near: dict[str, list[tuple[int, str, int]]] = field(default_factory=dict)
 
     def prepare(self) -> Vocabulary:
         if self.trie is None:
-            floor = LEAST_PAGES
-            for w, n in self.words.items():
-                if n >= floor and not w.isdigit():
-                    for x in looks_of(w):
-                        self.looks.setdefault(x, []).append(w)
-            # words that look like no other, and that no word is frequent enough to replace, need no second look
-            most = max(self.words.values(), default=0)
-            self.plain = frozenset(w for w, n in self.words.items() if n >= floor and n * min(EDIT_RATIO, ratio(w)) > most and w.isalpha() and len(w) > 1 and all(self.looks[x] == [w] for x in looks_of(w)))
             for f in sorted(self.furniture):
                 self.by_parts.setdefault(f.count(" "), []).append(f)
-            self.trie = Trie(w for w, n in self.words.items() if n >= max(floor, RATIO) and len(w) >= 6 and w.isalpha())
+            self.trie = Trie(w for w in self.words if not w.isdigit())
         return self
 
     def near_furniture(self, *forms: str) -> bool:
@@ -266,47 +258,55 @@ class Vocabulary:
     def count(self, word: str) -> int:
         return self.words.get(word, 0)
 
-    def meant(self, word: str, part: bool = False) -> str | None:
-        """The word that a misread one stands for, or none if it is in use itself or nothing is near enough.
+    def candidates(self, w: str) -> list[tuple[int, str, int]]:
+        """Cost, word and pages of all that ``w`` may stand for: look-alikes, and for longer words those an edit apart that are frequent enough."""
+        if w not in self.near:
+            if len(self.near) > 200_000:
+                self.near.clear()
+            self.near[w] = possible(w, self.count(w), ((cost, m, self.count(m)) for cost, m in self.trie.near(w, edits_of(w)))) if len(w) > 1 else []
+        return self.near[w]
 
+    def fits(self, before: str | None, word: str, after: str | None) -> int:
+        """How often a word stands behind or before its neighbours."""
+        return (self.pairs.get(f"{before} {word}", 0) if before else 0) + (self.pairs.get(f"{word} {after}", 0) if after else 0)
+
+    def meant(self, word: str, part: bool = False, before: str | None = None, after: str | None = None) -> str | None:
+        """The word that a misread one stands for, or none if nothing is near and frequent enough.
+
+        Candidates are ranked by confusions and edits, pages and the neighbouring words.
         ``part``: it may be a part of a word, for which only look-alikes are considered.
         """
         w = word.lower()
-        key = f"{w} {part}"
-        if key not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[key] = (self._meant(w, part), True)
-        return self.cache[key][0]
-
-    def _meant(self, w: str, part: bool) -> str | None:
-        own = self.count(w)
-        if len(w) < 2:
-            return None
-        mates = [m for x in looks_of(w) for m in self.looks.get(x, []) if m != w and self.count(m) >= ratio(w) * max(own, 0.5)]
-        if mates:
-            return max(mates, key=lambda m: (self.count(m), m))
-        if part or len(w) < 6 or not any(c.isalpha() for c in w):
+        least = ratio(w) * max(self.count(w), 0.5)
+        likely = [(cost, m, n) for cost, m, n in self.candidates(w) if n >= least and not (part and cost >= EDIT)]
+        if not likely or not any(c.isalpha() for c in w):
             return None
-        best = None
-        for cost, m in self.trie.near(w, 1):
-            edits, n = cost // EDIT, self.count(m)
-            # a prefix is an inflection or the part of a word, and short words are an edit from other words
-            if cost and n >= (EDIT_RATIO if edits else ratio(w)) * max(own, 0.5) and not (edits and (len(m) < 6 or m.startswith(w) or w.startswith(m))):
-                best = max(best or (-cost, n, m), (-cost, n, m))
-        return best[2] if best else None
+        score = lambda cost, m, n: math.log2(n) + math.log2(1 + self.fits(before, m, after)) - 2 * (cost % EDIT) - 8 * (cost // EDIT)
+        return max((score(cost, m, n), m) for cost, m, n in likely)[1]
 
     def by_context(self, before: str | None, word: str, after: str | None) -> str | None:
         """A look-alike of a word in use that fits between its neighbours where the word itself never stands."""
         w = word.lower()
-        mates = [m for x in looks_of(w) for m in self.looks.get(x, ()) if m != w]
+        mates = [m for cost, m, _ in self.candidates(w) if cost < EDIT]
         if not mates:
             return None
-        score = lambda x: (self.pairs.get(f"{before} {x}", 0) if before else 0) + (self.pairs.get(f"{x} {after}", 0) if after else 0)
-        own, (best, mate) = score(w), max((score(m), m) for m in mates)
+        own, (best, mate) = self.fits(before, w, after), max((self.fits(before, m, after), m) for m in mates)
         return mate if best >= 20 and best >= RATIO * max(own, 0.5) else None
 
 
+def edits_of(w: str) -> int:
+    """Edits besides confusions: short words are an edit from other words."""
+    return 1 if len(w) >= 6 and any(c.isalpha() for c in w) else 0
+
+
+def possible(w: str, own: int, near: Iterator[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Of the words ``near`` to ``w`` the look-alikes, and those an edit apart that are EDIT_RATIO times as frequent.
+
+    A prefix is an inflection or the part of a word.
+    """
+    return [(cost, m, n) for cost, m, n in near if m != w and (cost < EDIT or (n >= EDIT_RATIO * max(own, 0.5) and len(m) >= 6 and not (m.startswith(w) or w.startswith(m))))]
+
+
 #: Fixed value: lower-case Roman numerals of page numbers.
 _ROMAN = re.compile(r"^(?=[ivxl])(x{0,3}|xl|l)(ix|iv|v?i{0,3})$")
 _PAGED = re.compile(r"^(?:[-–—]\s*#\s*[-–—]|(?:page|p\s*\.?|pg\s*\.?)\s*#(?:\s*(?:of|/)\s*#)?|#\s*/\s*#|#\s*of\s*#|§\s*\.\s*#)$".replace("page", look("page")).replace("of", look("of")))
@@ -439,7 +439,7 @@ def _is_divided(head: str, mark: str, tail: str | None, v: Vocabulary) -> bool:
         joined, compound = v.count(a + b), v.compounds.get(f"{a}-{b}", 0)
         if joined or compound:
             return joined >= compound
-        if any(v.looks.get(x) for x in looks_of(a + b)):
+        if any(cost < EDIT and n >= LEAST_PAGES for cost, _, n in v.candidates(a + b)):
             return True
         if v.meant(a + b):
             return True
@@ -518,7 +518,7 @@ def read_page(text: str | None, page: int | None, forms: frozenset[str], v: Voca
         inner = spans[first : len(spans) - 1 if line.divided else len(spans)]
         codes = [m.span() for m in _CODE.finditer(line.text)] if "-" in line.text else []
         for n, (a, b, token) in enumerate(inner):
-            if token.isdigit() or token.lower() in v.plain:
+            if token.isdigit():
                 continue
             inside = next((c for c in codes if c[0] <= a and b <= c[1]), None)
             if inside:  # of a code only the digits can be judged
@@ -528,7 +528,7 @@ def read_page(text: str | None, page: int | None, forms: frozenset[str], v: Voca
                 behind = _lower(inner[n + 1][2]) if n + 1 < len(inner) and not line.text[b : inner[n + 1][0]].strip() else None
                 # a page may begin or end inside a word, which then isn't looked up among near words
                 outer = (k == 0 and n == 0) or (k == len(body) - 1 and n == len(inner) - 1)
-                fix = _misread_number(token, before, v) or v.meant(token, outer) or v.by_context(before, token, behind) or _digit_inside(token, v)
+                fix = _misread_number(token, before, v) or v.meant(token, outer, before, behind) or v.by_context(before, token, behind) or _digit_inside(token, v)
             if fix is not None and fix != token.lower():
                 line.garbled = True
                 line.fixes.append((a, b, _case(token, fix)))
