@@ -1,9 +1,10 @@
 """Repairing text of scanned pages: page furniture, words divided at line ends, misread characters.
 
-A vocabulary with counts is gathered from all pages. Each page is then read by itself:
-words that aren't in use are looked up in a trie of the vocabulary, intersected with a
-Levenshtein automaton so that every candidate within the distance is met; candidates are
-ranked by typical confusions of recognition and by the neighbouring words. Furniture is
+Counts of all words are gathered from all pages and stay a table. Distinct words are looked
+up in tries of the vocabulary, intersected with a Levenshtein automaton so that every
+candidate within the distance is met. Each block of pages is joined with the counts and
+candidates of its own words; candidates are ranked by typical confusions of recognition and
+by the neighbouring words. Furniture is
 known by what stands at page edges all over the corpus, or again and again in the document.
 """
 
@@ -24,8 +25,10 @@ from pyspark.sql import Window as W
 from docquarry.cluster import stored
 from docquarry.functions.edit import distance
 
-#: Entries of the vocabulary hold at least this share of all words (so there are at most 1 / share), and stand on at least so many pages.
-SHARE, LEAST_PAGES = 1e-6, 3
+#: Pages on which a word must stand to be called in use.
+LEAST_PAGES = 3
+#: Pages of a block, which is read with the counts of its own words; words of one trie.
+BLOCK, TRIE_WORDS = 1_000, 50_000
 #: A word is taken for a misreading of a look-alike that is at least so many times as frequent (the longer the word, the surer).
 RATIO = 40
 #: The same for a misreading that is no look-alike.
@@ -222,49 +225,50 @@ class Trie:
 
 
 @dataclass
-class Vocabulary:
-    """Counts from the corpus: words by pages, pairs, compounds, and lines that stand only at page edges."""
+class Furniture:
+    """Looks of lines that stand only at page edges; bounded, as each is on a share of all pages."""
 
-    words: dict[str, int]
-    pairs: dict[str, int]
-    compounds: dict[str, int]
-    first_parts: dict[str, int]
     furniture: frozenset[str]
-    pages: int
     by_parts: dict[int, list[str]] = field(default_factory=dict)
-    trie: Trie | None = None
-    cache: dict[str, tuple[str | None, bool]] = field(default_factory=dict)
-    near: dict[str, list[tuple[int, str, int]]] = field(default_factory=dict)
+    cache: dict[str, bool] = field(default_factory=dict)
 
-    def prepare(self) -> Vocabulary:
-        if self.trie is None:
+    def prepare(self) -> Furniture:
+        if not self.by_parts:
             for f in sorted(self.furniture):
                 self.by_parts.setdefault(f.count(" "), []).append(f)
-            self.trie = Trie(w for w in self.words if not w.isdigit())
         return self
 
     def near_furniture(self, *forms: str) -> bool:
         """Whether a line's looks are within a tenth of its length of lines known as furniture (misread beyond look-alikes)."""
         for f in forms:
-            key = "\n" + f
-            if key not in self.cache:
+            if f not in self.cache:
+                if len(self.cache) > 200_000:
+                    self.cache.clear()
                 most, parts = min(4, len(f) // 8), f.count(" ")
                 near = (x for x in self.by_parts.get(parts, ()) if abs(len(f) - len(x)) <= most and (x[:1] == f[:1] or x[-3:] == f[-3:]) and (x[:1] == "*") == (f[:1] == "*"))
-                self.cache[key] = (None, any(distance(f, x) <= most for x in near))
-            if self.cache[key][1]:
+                self.cache[f] = any(distance(f, x) <= most for x in near)
+            if self.cache[f]:
                 return True
         return False
 
+
+@dataclass
+class Vocabulary:
+    """What a block of pages needs of the corpus' counts: words by pages with their candidates, pairs, compounds."""
+
+    words: dict[str, int]
+    pairs: dict[str, int]
+    compounds: dict[str, int]
+    first_parts: dict[str, int]
+    pages: int
+    near: dict[str, list[tuple[int, str, int]]]
+
     def count(self, word: str) -> int:
         return self.words.get(word, 0)
 
     def candidates(self, w: str) -> list[tuple[int, str, int]]:
         """Cost, word and pages of all that ``w`` may stand for: look-alikes, and for longer words those an edit apart that are frequent enough."""
-        if w not in self.near:
-            if len(self.near) > 200_000:
-                self.near.clear()
-            self.near[w] = possible(w, self.count(w), ((cost, m, self.count(m)) for cost, m in self.trie.near(w, edits_of(w)))) if len(w) > 1 else []
-        return self.near[w]
+        return self.near.get(w, [])
 
     def fits(self, before: str | None, word: str, after: str | None) -> int:
         """How often a word stands behind or before its neighbours."""
@@ -277,7 +281,7 @@ class Vocabulary:
         ``part``: it may be a part of a word, for which only look-alikes are considered.
         """
         w = word.lower()
-        least = ratio(w) * max(self.count(w), 0.5)
+        least = ratio(w) * max(self.count(w) - 1, 0.5)  # its count elsewhere
         likely = [(cost, m, n) for cost, m, n in self.candidates(w) if n >= least and not (part and cost >= EDIT)]
         if not likely or not any(c.isalpha() for c in w):
             return None
@@ -304,7 +308,7 @@ def possible(w: str, own: int, near: Iterator[tuple[int, str, int]]) -> list[tup
 
     A prefix is an inflection or the part of a word.
     """
-    return [(cost, m, n) for cost, m, n in near if m != w and (cost < EDIT or (n >= EDIT_RATIO * max(own, 0.5) and len(m) >= 6 and not (m.startswith(w) or w.startswith(m))))]
+    return [(cost, m, n) for cost, m, n in near if m != w and (cost < EDIT or (n >= EDIT_RATIO * max(own - 1, 0.5) and len(m) >= 6 and not (m.startswith(w) or w.startswith(m))))]
 
 
 #: Fixed value: lower-case Roman numerals of page numbers.
@@ -366,21 +370,44 @@ def document_forms(pages: DataFrame) -> DataFrame:
     return forms.groupBy("doc").agg(F.collect_set("form").alias("forms"))
 
 
-def gather(pages: DataFrame) -> Vocabulary:
-    """The vocabulary of all pages. What comes to the driver is bounded by SHARE, not by the corpus."""
+def gather(pages: DataFrame) -> tuple[DataFrame, Furniture, int]:
+    """Counts of all pages as a table (kind, key, n), furniture and the number of pages."""
     counts = stored(_spread(pages.select("text")).mapInArrow(_counted, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    total = (counts.where("kind = 't'").agg(F.sum("n")).first()[0] or 0)
     n_pages = pages.where("text is not null").count()
-    least = max(LEAST_PAGES, SHARE * total)
-    rows = counts.where((F.col("kind").isin("w", "b", "h", "p") & (F.col("n") >= F.when(F.col("kind") == "b", max(5, least)).otherwise(least))))
-    by = {k: {} for k in "wbhp"}
-    for batch in rows.toArrow().to_batches():
-        for kind, key, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            by[kind][key] = n
     lines = counts.where("kind in ('e', 'y')").groupBy("key").agg(F.sum(F.when(F.col("kind") == "e", F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("kind") == "y", F.col("n")).otherwise(0)).alias("y"))
     often = max(LEAST_PAGES, 0.002 * n_pages)  # at most 2 x EDGE x 2 / 0.002 lines
     furniture = {r["key"] for r in lines.where((F.col("e") >= often) & (F.col("y") <= 0.05 * F.col("e"))).select("key").collect()}
-    return Vocabulary(by["w"], by["b"], by["h"], by["p"], frozenset(f for f in furniture if any(c.isalpha() or c == "§" for c in f)), n_pages)
+    return counts, Furniture(frozenset(f for f in furniture if any(c.isalpha() or c == "§" for c in f))), n_pages
+
+
+_MATES = "array<struct<cost:int,word:string,n:bigint>>"
+
+
+def with_candidates(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """key, n, mates: the words ``wanted`` (key) with their true counts and candidates in ``vocabulary`` (key, n).
+
+    Slices of the words meet parts of the vocabulary, so no task holds more than about
+    TRIE_WORDS words, whatever the corpus.
+    """
+    slices = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 1 + vocabulary.count() // TRIE_WORDS
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = wanted.join(vocabulary, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+    left = own.withColumn("slice", F.pmod(F.hash("key"), F.lit(slices))).withColumn("part", copies(parts))
+    right = vocabulary.where("not key rlike '^[0-9]+$'").withColumn("part", F.pmod(F.hash("key"), F.lit(parts))).withColumn("slice", copies(slices))
+
+    def look_up(words: pa.Table, entries: pa.Table) -> pa.Table:
+        counts = dict(zip(entries["key"].to_pylist(), entries["n"].to_pylist(), strict=True))
+        trie, rows = Trie(iter(counts)), []
+        for w, n in zip(words["key"].to_pylist(), words["n"].to_pylist(), strict=True):
+            if len(w) > 1:
+                rows += [(w, cost, m, k) for cost, m, k in possible(w, n, ((cost, m, counts[m]) for cost, m in trie.near(w, edits_of(w))))]
+        types = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)], names=["key", "cost", "word", "k"])
+
+    met = left.groupBy("slice", "part").cogroup(right.groupBy("slice", "part")).applyInArrow(look_up, "key string, cost int, word string, k bigint")
+    mates = met.groupBy("key").agg(F.collect_list(F.struct("cost", "word", F.col("k").alias("n"))).alias("mates"))
+    return own.join(mates, "key", "left")
 
 
 @dataclass
@@ -408,7 +435,7 @@ def _stamp(line: str) -> bool:
     return len(letters) >= 4 and sum(c.isupper() or c == "l" for c in letters) >= 0.9 * len(letters) and len(s.split()) <= 5 and s[-1] not in ".:;,)%" and not re.search(r"\d{2}", s)
 
 
-def is_furniture(line: str, at_edge: bool, last: bool, alone: bool, page: int | None, forms: frozenset[str], v: Vocabulary) -> bool:
+def is_furniture(line: str, at_edge: bool, last: bool, alone: bool, page: int | None, forms: frozenset[str], v: Furniture) -> bool:
     """``alone``: the line before isn't a number too, as in a column of a table."""
     if _stamp(line):
         return True
@@ -475,28 +502,64 @@ def _case(like: str, word: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
 
 
-def read_page(text: str | None, page: int | None, forms: frozenset[str], v: Vocabulary) -> list[Line]:
+def furniture_of(text: str | None, page: int | None, forms: frozenset[str], v: Furniture) -> tuple[bool, list[int]]:
+    """Whether a page has layout, and the indexes of its lines that are furniture."""
+    lines = lines_of(text) if text else []
+    if not (LAYOUT in forms or has_layout(lines)):
+        return False, []
+    at = {i for i, _ in edges(lines)}
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    alone = lambda n: n == 0 or not re.fullmatch(r"[\d\s.,]+", lines[full[n - 1]])
+    return True, [i for n, i in enumerate(full) if is_furniture(lines[i], i in at, i == full[-1], alone(n), page, forms, v)]
+
+
+def _body(lines: list[str], furniture: list[int]) -> list[int]:
+    hidden = set(furniture)
+    return [i for i, x in enumerate(lines) if x.strip() and i not in hidden]
+
+
+def _tail(after: str | None) -> str | None:
+    """The word with which the line behind a divided word begins."""
+    following = _WORD.search(after) if after else None
+    return following[0] if following and not after[: following.start()].strip() else None
+
+
+def needed(text: str | None, layout: bool, furniture: list[int]) -> set[tuple[str, str]]:
+    """Kind and key of all counts that :func:`read_page` may ask for, but for pairs with candidates."""
+    lines, keys = lines_of(text) if text else [], set()
+    body = _body(lines, furniture)
+    for k, i in enumerate(body):
+        words = _WORD.findall(lines[i])
+        low = [_lower(w) for w in words]
+        keys.update(("w", w) for w in low)
+        keys.update(("b", f"{a} {b}") for a, b in zip(low, low[1:], strict=False))
+        keys.update(("b", f"{a} #") for a, b in zip(low, words[1:], strict=False) if b in _LETTERS)
+        if layout and (m := _END.search(lines[i])):
+            a, after = m[1].lower(), lines[body[k + 1]] if k + 1 < len(body) else None
+            keys |= {("w", a), ("p", a)}
+            if tail := _tail(after):
+                b = tail.lower()
+                keys |= {("w", b), ("w", a + b), ("h", f"{a}-{b}")}
+            if words and after and (first := _WORD.search(after)):
+                keys.add(("w", (words[-1] + first[0]).lower()))
+    return keys
+
+
+def read_page(text: str | None, layout: bool, furniture: list[int], v: Vocabulary) -> list[Line]:
     """The lines of one page with what was found of each. Null and empty texts have none; blank lines nothing."""
     if text is None or text == "":
         return []
     out = [Line(x) for x in lines_of(text)]
-    layout = LAYOUT in forms or has_layout([x.text for x in out])
-    at = {i for i, _ in edges([x.text for x in out])} if layout else set()
-    full = [i for i, x in enumerate(out) if x.text.strip()]
-    if layout:
-        for n, i in enumerate(full):
-            alone = n == 0 or not re.fullmatch(r"[\d\s.,]+", out[full[n - 1]].text)
-            out[i].furniture = is_furniture(out[i].text, i in at, i == full[-1], alone, page, forms, v)
-    body = [i for i in full if not out[i].furniture]
+    for i in furniture:
+        out[i].furniture = True
+    body = _body([x.text for x in out], furniture)
     carried: tuple[int, str] | None = None  # line and first part of a divided word
     for k, i in enumerate(body):
         line = out[i]
         spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(line.text)]
         after = out[body[k + 1]].text if k + 1 < len(body) else None
         if layout and (m := _END.search(line.text)):
-            following = _WORD.search(after) if after else None
-            tail = following[0] if following and not after[: following.start()].strip() else None
-            line.divided = _is_divided(m[1], m[2], tail, v)
+            line.divided = _is_divided(m[1], m[2], _tail(after), v)
         first = 0
         if carried is not None:
             j, head = carried
@@ -557,17 +620,49 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def _read(pages: DataFrame, schema: str, emit) -> DataFrame:
-    """Run ``emit`` over the lines of every page, with the corpus' vocabulary and the document's forms."""
-    vocabulary = gather(pages)
-    sent = pages.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by SHARE
+    """Run ``emit`` over the lines of every page, in blocks joined with the counts that their pages need."""
+    counts, furniture, n_pages = gather(pages)
+    sent = pages.sparkSession.sparkContext.broadcast(furniture)  # bounded, see gather
     joined = _spread(pages.join(document_forms(pages), "doc", "left").select("page_id", "doc", "page", "text", "forms"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value.prepare()
         for batch in batches:
-            yield emit((p, d, n, read_page(t, n, frozenset(f or ()), v)) for p, d, n, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            found = [furniture_of(t, n, frozenset(f or ()), v) for n, t, f in zip(*(batch.column(c).to_pylist() for c in ("page", "text", "forms")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x[0] for x in found], pa.bool_()), pa.array([x[1] for x in found], pa.list_(pa.int32()))], names=["page_id", "doc", "page", "text", "layout", "furniture"])
+
+    marked = joined.mapInArrow(mark, "page_id bigint, doc string, page int, text string, layout boolean, furniture array<int>")
+    blocks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_pages // BLOCK)
+    marked = stored(marked.withColumn("block", F.pmod(F.xxhash64("page_id", "doc", "page"), F.lit(blocks)).cast("int")), "marked")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = {(block, *key) for block, t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) for key in needed(t, y, f)}
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))], names=["block", "kind", "key"])
+
+    asked = stored(marked.select("block", "text", "layout", "furniture").mapInArrow(ask, "block int, kind string, key string").distinct(), "asked")
+    words = stored(with_candidates(asked.where("kind = 'w'").select("key").distinct(), counts.where("kind = 'w'").select("key", "n")), "words")
+    # pairs of candidates with the neighbours of the words they may stand for
+    pairs = asked.where("kind = 'b'").select("block", F.substring_index("key", " ", 1).alias("a"), F.substring_index("key", " ", -1).alias("b"))
+    mates = words.where("mates is not null").select("key", F.explode("mates.word").alias("mate"))
+    behind = pairs.join(mates, F.col("b") == F.col("key")).select("block", F.concat_ws(" ", "a", "mate").alias("key"))
+    before = pairs.join(mates, F.col("a") == F.col("key")).select("block", F.concat_ws(" ", "mate", "b").alias("key"))
+    every = asked.where("kind <> 'w'").unionByName(behind.unionByName(before).select("block", F.lit("b").alias("kind"), "key")).distinct()
+    facts = every.join(counts, ["kind", "key"]).select("block", "kind", "key", "n", F.lit(None).cast(_MATES).alias("mates"))
+    facts = facts.unionByName(asked.where("kind = 'w'").join(words, "key").select("block", "kind", "key", "n", "mates"))
+
+    def run(rows: pa.Table, facts: pa.Table) -> pa.Table:
+        by: dict = {k: {} for k in "wbhp"}
+        near = {}
+        for kind, key, n, mates in zip(*(facts[c].to_pylist() for c in ("kind", "key", "n", "mates")), strict=True):
+            by[kind][key] = n
+            if mates:
+                near[key] = [(m["cost"], m["word"], m["n"]) for m in mates]
+        v = Vocabulary(by["w"], by["b"], by["h"], by["p"], n_pages, near)
+        columns = zip(*(rows[c].to_pylist() for c in ("page_id", "doc", "page", "text", "layout", "furniture")), strict=True)
+        return pa.Table.from_batches([emit((p, d, n, read_page(t, y, f, v)) for p, d, n, t, y, f in columns)])
 
-    return joined.mapInArrow(run, schema)
+    return marked.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(run, schema)
 
 
 def line_kinds(df: DataFrame, doc: str = "source_document_id", page: str = "page_number", key: str = "id", text: str = "text") -> DataFrame:

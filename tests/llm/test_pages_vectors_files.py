@@ -35,7 +35,9 @@ def test_looks():
 
 
 def vocabulary(words, pairs=None):
-    return P.Vocabulary(words, pairs or {}, {}, {}, frozenset(), max(words.values())).prepare()
+    trie, asked = P.Trie(iter(words)), {*words, "teor"}
+    near = {w: P.possible(w, words.get(w, 0), ((cost, m, words[m]) for cost, m in trie.near(w, P.edits_of(w)))) for w in asked}
+    return P.Vocabulary(words, pairs or {}, {}, {}, max(words.values()), near)
 
 
 def test_recurring_misreadings_are_looked_up():
@@ -114,6 +116,19 @@ def test_line_kinds(spark):
     assert P.line_kinds(df.where("false")).count() == 0
 
 
+def test_counts_have_no_floor(spark, monkeypatch):
+    """Rare words keep their counts in a corpus of any size, and parts of the vocabulary add up to the whole."""
+    rows = corpus() + [(900 + i, f"n{i}", 1, BODY.replace("vehicle", "moricept") + "\n\n" + BODY) for i in range(2)]
+    df = spark.createDataFrame([(i, d, p, t) for i, d, p, t in rows], "page_id long, doc string, page int, text string")
+    counts = P.gather(df)[0].where("kind = 'w'").select("key", "n")
+    assert {r["key"]: r["n"] for r in counts.collect()}["moricept"] == 2
+    wanted = spark.createDataFrame([("moricept",), ("rnoricept",), ("gr0up",), ("absent",)], "key string")
+    for size in (50_000, 5):
+        monkeypatch.setattr(P, "TRIE_WORDS", size)
+        got = {r["key"]: (r["n"], sorted(m["word"] for m in r["mates"] or [])) for r in P.with_candidates(wanted, counts).collect()}
+        assert got == {"moricept": (2, []), "rnoricept": (0, ["moricept"]), "gr0up": (0, ["group"]), "absent": (0, [])}
+
+
 def test_paragraphs(spark):
     df = spark.createDataFrame(corpus(), "id long, source_document_id string, page_number int, text string")
     got = P.paragraphs(df).collect()
