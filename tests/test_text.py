@@ -96,3 +96,29 @@ def test_limit_and_pages(spark):
     assert [r["x"] for r in df.select(D.page_selection(F.col("p"), F.col("m")).alias("x")).collect()] == [[1, 2, 3], [1], [1, 2], None]
     fields = D.required_fields({"required_content": ["Study ID", "AUC", "auc"], "validation_rules": {"hERG_required": True, "n": 3}, "extraction_focus": {"x": ["single dose"]}})
     assert fields == ["Study ID", "AUC", "hERG required", "n", "x", "single dose"]
+
+
+def brute_study_ids(text):
+    """The rules of the identifiers, with Python's own regular expressions."""
+    import re
+
+    form = re.compile(r"\b(?=[A-Z0-9./-]*[A-Z])(?=[A-Z0-9./-]*\d)[A-Z0-9]{2,}(?:[-./][A-Z0-9]+)+\b", re.I | re.A)
+    endings, found = {"pdf", "xml", "docx", "txt", "csv", "json", "md"}, []
+    for x in form.findall(text or ""):
+        x = re.sub(r"\.(?:" + "|".join(endings) + ")$", "", x, flags=re.I)
+        x = re.sub(r"^(?:stf-|study-)", "", x, flags=re.I).strip("._-")
+        while "." in x and x.split(".")[-1].lower() in endings | {"extracted", "quality", "meta", "images", "tables"}:
+            x = x.rpartition(".")[0].strip("._-")
+        if form.fullmatch(x) and len(x) >= 6 and sum(c.isdigit() for c in x) >= 2 and not re.match(r"(?i)^(?:input\.(?:p\d+)?\.t\d+|p\d+\.t\d+)$", x):
+            found.append(x.upper())
+    return list(dict.fromkeys(found))
+
+
+def test_study_ids_of_all_names(spark, tmp_path):
+    from docquarry.plans.reference import QUERIES
+
+    names = ["AB12-0000001_Draft_Report_v1.pdf", "ab12-0000001 final report.PDF", "AB12-0000001-final-report-v2.pdf", "C:\\transfer\\AB12-0000001%20Report%20v1.0 .pdf", "uploads/inbox/gv19-0002216 Report.pdf", "1690518752_Draft Report aq12 0000005 rev 1 - Copy.docx", "stf-AB12-0000009.xml.meta", "AB12-0000002 and AB12-0000003.pdf", "Rpt-JX18_0002358-v1.0.pdf", "scan.pdf", "input.p1.t2", "", None]
+    spark.createDataFrame([(str(i), n) for i, n in enumerate([*names, names[0]])], "id string, file_name string").write.parquet(f"{tmp_path}/ncd_source_document.parquet")
+    got = {r["id"]: r["ids"] for r in QUERIES["study_ids_of_all_names"](spark, str(tmp_path)).collect()}
+    assert got == {str(i): brute_study_ids((n or "").replace("_", " ")) for i, n in enumerate([*names, names[0]])}
+    assert got["1"] == got["0"] == ["AB12-0000001"] and got["7"] == ["AB12-0000002", "AB12-0000003"] and got["12"] == []
