@@ -189,7 +189,8 @@ def learn_weights(records: DataFrame) -> Weights:
 class State:
     """What is kept of all history: titles, weights, and three tables.
 
-    ``keys``: key, rep and the fields of a representative; ``members``: id, batch_no, rep;
+    ``keys``: key, rep and the fields of a representative; ``members``: id, batch_no, rep, and
+    ``held``, whether the file was held already when the record came;
     ``mapping``: rep, root for representatives that were united with others.
     """
 
@@ -245,7 +246,7 @@ def start(records: DataFrame) -> State:
     weights = learn_weights(keyed(described_, titles))
     empty = lambda schema: spark.createDataFrame([], schema)
     fields = ", ".join(f"{f} string" for f in _FIELDS)
-    return State(titles, weights, empty(f"key string, rep string, {fields}"), empty("id string, batch_no int, rep string"), empty("rep string, root string"))
+    return State(titles, weights, empty(f"key string, rep string, {fields}"), empty("id string, batch_no int, rep string, held boolean"), empty("rep string, root string"))
 
 
 def add_batch(state: State, batch: DataFrame, threshold: float = 0.0) -> State:
@@ -271,6 +272,9 @@ def add_batch(state: State, batch: DataFrame, threshold: float = 0.0) -> State:
     busy = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     roots = components(shared.join(busy, "key", "left_semi"))
     new_members = records.join(roots, F.col("id") == F.col("node"), "left").select("id", "batch_no", F.coalesce("root", "id").alias("rep"))
+    met = old.select("node").distinct().join(roots, "node").select(F.col("root").alias("rep"), F.lit(True).alias("met")).distinct()
+    lead = new_members.groupBy("rep").agg(F.min(F.struct(F.coalesce("batch_no", F.lit(0)), "id"))["id"].alias("lead"))
+    new_members = new_members.join(lead, "rep").join(met, "rep", "left").select("id", "batch_no", "rep", (F.coalesce("met", F.lit(False)) | (F.col("lead") != F.col("id"))).alias("held"))
     moved = roots.join(old.select("node").distinct(), "node", "left_semi").where("node <> root").select(F.col("node").alias("rep"), "root")
     fresh = first.where("held is null").select("key", F.col("first.id").alias("rep"), *[F.col(f"first.{f}").alias(f) for f in _FIELDS])
     fresh = fresh.join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("rep"), *_FIELDS)
@@ -285,18 +289,20 @@ def add_batch(state: State, batch: DataFrame, threshold: float = 0.0) -> State:
 
 
 def classes(state: State) -> DataFrame:
-    """id, batch_no, class_id of all records held."""
-    return state.members.join(state.mapping, "rep", "left").select("id", "batch_no", F.coalesce("root", "rep").alias("class_id"))
+    """id, batch_no, class_id of all records held, and whether their file was ``held`` when they came."""
+    return state.members.join(state.mapping, "rep", "left").select("id", "batch_no", F.coalesce("root", "rep").alias("class_id"), "held")
 
 
-def load(df: DataFrame, single: int = 1) -> State:
-    """History of a whole table: the backlog in one step, the last ``single`` batches one by one."""
+def load(df: DataFrame, single: int = 5) -> State:
+    """History of a whole table: the backlog in one step, the last ``single`` batches one by one.
+
+    Titles and weights are learned from the backlog alone.
+    """
     records = stored(described(df), "records")
     batches = sorted(r[0] for r in records.select("batch_no").distinct().collect() if r[0] is not None)
     last = batches[len(batches) - single :] if len(batches) > single else []
-    state = start(records)
     backlog = records.where(~F.col("batch_no").isin(last) | F.col("batch_no").isNull()) if last else records
-    state = add_batch(state, backlog)
+    state = add_batch(start(backlog), backlog)
     for number in last:
         state = add_batch(state, records.where(F.col("batch_no") == number))
     return state
@@ -311,7 +317,5 @@ def same_file_pairs(held: DataFrame) -> DataFrame:
 
 
 def batch_report(held: DataFrame) -> DataFrame:
-    """batch_no, n_records, n_held: records of files that an earlier batch, or an earlier id of the same batch, already held."""
-    first = held.groupBy("class_id").agg(F.min(F.struct(F.coalesce("batch_no", F.lit(0)), "id")).alias("first"))
-    joined = held.join(first, "class_id")
-    return joined.groupBy("batch_no").agg(F.count("*").alias("n_records"), F.count_if(F.col("first.id") != F.col("id")).alias("n_held"))
+    """batch_no, n_records, n_held: records of files that an earlier batch, or an earlier id of the same batch, already held when they came."""
+    return held.groupBy("batch_no").agg(F.count("*").alias("n_records"), F.count_if("held").alias("n_held"))

@@ -223,6 +223,21 @@ def test_classes_are_those_of_brute_force(spark):
     assert I.same_file_pairs(I.classes(I.load(df.where("false")))).count() == 0
 
 
+def test_batches_are_judged_as_they_come(spark):
+    rows = [("b1", "AB12-0000001_Draft_Report_v1.pdf", f"{1:064x}", 1), ("a2", "AB12-0000002_Draft_Report_v1.pdf", f"{2:064x}", 2), ("a3", "AB12-0000001_Draft_Report_v1.pdf", f"{2:064x}", 3)]
+    held = I.classes(I.load(spark.createDataFrame(rows, "id string, file_name string, sha256 string, batch_no int"), 2))
+    # the last record ties the files of the batches before, which were apart when they came
+    assert {r["class_id"] for r in held.collect()} == {"a2"}
+    assert {r["batch_no"]: (r["n_records"], r["n_held"]) for r in I.batch_report(held).collect()} == {1: (1, 0), 2: (1, 0), 3: (1, 1)}
+
+
+def test_titles_are_learned_from_the_backlog(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(I, "learn_titles", lambda df, f=I.learn_titles: seen.append({r[0] for r in df.select("batch_no").collect()}) or f(df))
+    I.load(spark.createDataFrame(files(), "id string, file_name string, sha256 string, batch_no int"), 2)
+    assert seen == [{1, 2, 3, None}]
+
+
 def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"k{j}") for i in range(40) for j in (i, i + 1)] + [("z", "alone")], "node string, key string")
     got = {r["node"]: r["root"] for r in I.components(edges).collect()}
