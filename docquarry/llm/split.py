@@ -92,13 +92,19 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     return out
 
 
-def cut_level(text: str, limit: int = LIMIT) -> str:
+def cut_level(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> str:
     """``hard`` where a run of letters and digits exceeds the limit, ``paragraph`` where every paragraph keeps it, else ``within``.
 
-    Paragraphs are the stretches between boundaries of the greatest strength, without outer white space.
+    The cuts of :func:`pieces` decide where they can: a run over the limit forces a cut
+    without any boundary, and cuts at paragraphs alone leave every paragraph whole within
+    a piece. The definition decides the rest. Paragraphs are the stretches between
+    boundaries of the greatest strength, without outer white space.
     """
-    if any(m.end() - m.start() > limit for m in _RUN.finditer(text)):
+    cuts = {s for _, _, s in pieces(text, limit, overlap)[:-1]}
+    if NONE in cuts and any(m.end() - m.start() > limit for m in _RUN.finditer(text)):
         return "hard"
+    if cuts <= {PARAGRAPH}:
+        return "paragraph"
     ends = np.flatnonzero(strengths(text) == PARAGRAPH).tolist()
     parts = [text[a:b].strip() for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
     return "paragraph" if all(len(p) <= limit for p in parts) else "within"

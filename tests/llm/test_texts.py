@@ -1,6 +1,7 @@
 import html
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -36,6 +37,25 @@ def test_pieces_cover_the_text(text):
     assert all(q[0] == p[1] - 10 for p, q in zip(parts, parts[1:], strict=False))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b ", "c; ", "d. ", "\n", "\n\n", " \n \n", "-"]), st.integers(1, 45)), min_size=1, max_size=12))
+def test_cuts_decide_as_the_definition(parts):
+    text = "".join(x * n for x, n in parts)
+    if len(text) > 40:
+        if any(len(r) > 40 for r in re.findall(r"[^\W_]+", text)):
+            wanted = "hard"
+        else:
+            ends = [0, *(i for i, s in enumerate(S.strengths(text)) if s == S.PARAGRAPH), len(text)]
+            wanted = "paragraph" if all(len(text[a:b].strip()) <= 40 for a, b in zip(ends, ends[1:], strict=False)) else "within"
+        assert S.cut_level(text, 40, 8) == wanted
+
+
+def test_cut_levels_come_from_the_pieces(monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "pieces", lambda *a, f=S.pieces: seen.append(a) or f(*a))
+    assert S.cut_level("a b " * 300 + "\n\n" + "c d " * 300) == "paragraph" and len(seen) == 1
+
+
 def test_cut_levels():
     assert S.cut_level("a" * 1501) == "hard" and S.cut_level("x-" * 900) == "within"
     assert S.cut_level("a b " * 300 + "\n \t\n" + "c d " * 300) == "paragraph"
