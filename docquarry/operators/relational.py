@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docquarry.cluster import stored
 from docquarry.functions.text import tokens
 
 # Latest and best rows
@@ -18,6 +19,15 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
+def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Every row with its rank (from 1) in ``order``: a range sort, ranks within its partitions and the sizes of those before."""
+    at = stored(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked").withColumn("__part", F.shiftright("__at", 33))
+    sizes = at.groupBy("__part").agg(F.count("*").alias("__n"))
+    # one row per partition of the sort
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return at.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__at", "__before")
+
+
 def latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """The newest row of each key; null times last, equal times by the larger ``tie``."""
     return top_per_key(df, keys, [F.desc_nulls_last(time), F.desc(tie)])

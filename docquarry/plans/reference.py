@@ -99,6 +99,11 @@ def natural_order_last(customer):
     return customer.orderBy(F.desc(X.natural_key("c_name")), "c_custkey").limit(100).select("c_custkey", "c_name")
 
 
+@query("""select c_custkey, c_name, row_number() over (order by cast(regexp_extract(c_name, '[0-9]+') as bigint), c_custkey) as rank from customer""")
+def natural_order(customer):
+    return R.ranked(customer.select("c_custkey", "c_name"), [X.natural_key("c_name"), F.col("c_custkey")])
+
+
 # Joins
 
 

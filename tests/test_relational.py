@@ -121,3 +121,13 @@ def test_counted_chunks_stream(spark, tmp_path):
     q.stop()
     got = spark.table("counted").orderBy("chunk_index").collect()
     assert [(r["chunk_index"], r["n"], r["first_page"], r["last_page"]) for r in got] == [(1, 2, 1, 2), (2, 2, 3, 4)]
+
+
+def test_natural_order_ranks_every_row(spark, tmp_path):
+    from docquarry.plans.reference import QUERIES
+
+    numbers = [(7 * i) % 331 for i in range(331)]
+    df = spark.createDataFrame([(n, f"Customer#{n:0{1 + n % 5}d}") for n in numbers], "c_custkey long, c_name string")
+    df.repartition(7).write.parquet(f"{tmp_path}/customer.parquet")
+    got = rows(QUERIES["natural_order"](spark, str(tmp_path)))
+    assert got == [(n, f"Customer#{n:0{1 + n % 5}d}", n + 1) for n in range(331)]
