@@ -13,9 +13,9 @@ def test_headers(spark):
 
 
 def test_best_by_labels(spark):
-    df = spark.createDataFrame([(1, "report LT3114-PHA-001-R on dogs"), (2, "cardiac safety of the drug in dogs"), (3, "see AB12-345 only"), (4, None)], "id int, t string")
-    c = spark.createDataFrame([("LT3114-PHA-001-R", ["other"]), ("XX99-0001", ["cardiac safety dogs"])], "c string, labels array<string>")
-    assert [(r["id"], r["candidate"]) for r in M.best_by_labels(df, "id", "t", c, "c", "labels").orderBy("id").collect()] == [(1, "LT3114-PHA-001-R"), (2, "XX99-0001"), (3, "AB12-345")]
+    df = spark.createDataFrame([(1, "report QX77-TOX-204-B on dogs"), (2, "cardiac safety of the drug in dogs"), (3, "see AB12-345 only"), (4, None)], "id int, t string")
+    c = spark.createDataFrame([("QX77-TOX-204-B", ["other"]), ("XX99-0001", ["cardiac safety dogs"])], "c string, labels array<string>")
+    assert [(r["id"], r["candidate"]) for r in M.best_by_labels(df, "id", "t", c, "c", "labels").orderBy("id").collect()] == [(1, "QX77-TOX-204-B"), (2, "XX99-0001"), (3, "AB12-345")]
 
 
 def test_sections_of_texts(spark):

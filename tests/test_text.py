@@ -18,7 +18,7 @@ def one(spark, column, **values):
 
 def test_study_ids(spark):
     f = lambda v: one(spark, X.study_ids("v"), v=v)
-    assert f("see LT3114-PHA-001-R.pdf and study-AB12-345.extracted.md") == ["LT3114-PHA-001-R", "AB12-345"]
+    assert f("see QX77-TOX-204-B.pdf and study-AB12-345.extracted.md") == ["QX77-TOX-204-B", "AB12-345"]
     assert f("input.p1.t2 and A-1") == [] and f(None) == [] and f("") == []
     c = lambda v: one(spark, X.canonical_study_number("v"), v=v)
     assert c("600210") == "600210" and c("1006-2525") == "1006-2525" and c("wkp00013 page 2") == "WKP00013 PAGE 2" and c("n/a") == "" and c(None) == ""
