@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,20 +33,29 @@ def ratio(a: str, b: str) -> float:
 
 @lru_cache(maxsize=50_000)
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string with a window of the longer one (windows may stick out at either end)."""
+    """Best ratio of the shorter string with a window of the longer one (windows may stick out at either end).
+
+    A window shares at most as many characters as their counts allow, so windows are tried
+    from the greatest such bound down, until none left can be better.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    n, best, letters = len(a), 0.0, set(a)
-    for start in range(-n + 1, len(b)):
-        window = b[max(0, start) : start + n]
-        # a best window begins and ends with a character of the shorter string
-        if not window or (start > 0 and window[0] not in letters) or (start + n < len(b) and window[-1] not in letters):
-            continue
-        best = max(best, ratio(a, window))
+    n, codes = len(a), np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.maximum(np.arange(1 - n, len(b)), 0)
+    high = np.minimum(np.arange(1, len(b) + n), len(b))
+    shared = np.zeros(len(low), np.int64)
+    for letter, count in Counter(a).items():
+        before = np.concatenate([[0], np.cumsum(codes == ord(letter))])
+        shared += np.minimum(before[high] - before[low], count)
+    bound, best = 200.0 * shared / (n + high - low), 0.0
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] <= best:
+            break
+        best = max(best, ratio(a, b[low[i] : high[i]]))
     return best
 
 

@@ -264,16 +264,22 @@ def slug(c: Column | str, empty: str = "unknown") -> Column:
 
 
 def module_number(c: Column | str) -> Column:
-    """Module 1 to 5 of ``4``, ``m4``, ``Module 4 ...`` or ``module_4``; null otherwise."""
-    t = F.lower(F.trim(F.coalesce(_c(c), F.lit(""))))
-    return F.nullif(F.regexp_extract(t, r"^(?:m|module[\s._-]*)?([1-5])(?![0-9])", 1), F.lit("")).cast("int")
+    """Module 1 to 5: the text itself if it is one, else the number behind the first "module" that has one; null otherwise."""
+    t = F.trim(F.coalesce(_c(c), F.lit("")))
+    named = F.regexp_extract(t, r"(?i)\bmodule[\s._-]*([1-5])(?![0-9])", 1)
+    return F.when(t.rlike("^[1-5]$"), t).otherwise(F.nullif(named, F.lit(""))).cast("int")
+
+
+def short_module(c: Column | str) -> Column:
+    """``m4`` written out as ``module 4``; anything else as it is."""
+    return F.regexp_replace(_c(c), r"(?i)^\s*m\s*([1-5])\s*$", "module $1")
 
 
 def path_context(c: Column | str) -> Column:
     """Struct company, project, module of a path company/<company>/<project>/<module>/..."""
     parts = F.split(_c(c), "/")
     at = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(""))
-    return F.struct(at(1).alias("company"), at(2).alias("project"), module_number(F.coalesce(at(3), F.lit(""))).alias("module"))
+    return F.struct(at(1).alias("company"), at(2).alias("project"), module_number(short_module(F.coalesce(at(3), F.lit("")))).alias("module"))
 
 
 def clean_path(*cs: Column | str) -> Column:

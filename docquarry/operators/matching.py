@@ -2,74 +2,158 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from docquarry.functions.fuzzy import partial_ratio_column, token_set_ratio_column
-from docquarry.functions.text import squeeze, study_ids, tokens
+from docquarry.functions.fuzzy import partial_ratio, token_set_ratio
+from docquarry.functions.text import squeeze, study_ids
 from docquarry.operators.relational import top_per_key
 
-# Header names with one meaning, after lower case and without punctuation.
+# Header names with one meaning, after lower case and without punctuation, and their beginnings.
 HEADERS = {
-    "doses": ["dose", "dosage"],
-    "dose concentration": ["concentration"],
-    "method of administration": ["route", "route of administration", "administration route", "method of admin", "method of admin istration"],
-    "endpoints assays": ["endpoint", "endpoints", "assay", "assays", "endpoint assay", "endpoint assays", "endpoints assay"],
-    "study number": ["study id", "study no", "study", "study number no", "report study no", "report study number", "report number"],
-    "species strain or test system": ["species strain or test system or species"],
-    "organ systems evaluated": ["systems evaluated", "system evaluated", "target organ", "target organs", "safety pharmacology domain"],
+    "doses": ["dose", "dose level", "dose levels", "dose mg kg", "doses mg kg", "dosage"],
+    "dose concentration": ["dose concentration", "concentration"],
+    "method of administration": ["route of administration", "route", "administration route", "method of admin", "method of administrationistration", "method of admin istration"],
+    "endpoints assays": ["endpoint", "endpoints", "assay", "assays", "endpoint assay", "endpoint assays", "endpoints assay", "endpoints assays"],
+    "study number": ["study id", "study no", "study number no", "report study no", "report study number", "report number"],
+    "species strain or test system": ["species strain or test system", "species strain or test system or species"],
+    "organ systems evaluated": ["organ system", "organ systems", "systems evaluated", "system evaluated", "organ systems assessed", "target organ", "target organs", "safety pharmacology domain", "organ systems evaluated"],
     "glp compliance": ["glp", "glp status", "glp statement", "qa statement", "compliance with glp"],
     "gender": ["sex"],
-    "gender and no per group": ["sex and no per group"],
-    "noteworthy findings": ["key findings", "key results", "findings", "observations", "conclusion", "conclusions", "result summary"],
+    "gender and no per group": ["gender and no per group", "sex and no per group"],
+    "noteworthy findings": ["noteworthy findings", "key findings", "key results", "findings", "observations", "conclusion", "conclusions", "result summary"],
 }
+HEADER_BEGINNINGS = [("doses", r"^doses? "), ("organ systems evaluated", r"^organ system|\borgan\b.*\bsystem")]
 #: Words that say nothing about a required field.
 STOP_WORDS = ("the", "and", "of", "for", "to", "in", "a", "an", "or", "with", "by", "on", "required")
 
 
 def header_token(c: Column) -> Column:
-    """A table header in its canonical form."""
+    """A table header in its canonical form: by its whole name, else by how it begins."""
     bare = squeeze(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    out = F.when(bare.rlike(r"^doses? (?!concentration)") | (bare == "dose"), "doses").when(bare.rlike(r"^organ system|\borgan\b.*\bsystem"), "organ systems evaluated")
-    for name, others in HEADERS.items():
-        out = out.when(bare.isin(*others), name)
-    return out.otherwise(bare)
+    names = reduce(lambda out, kv: out.when(bare.isin(*kv[1]), kv[0]), HEADERS.items(), F)
+    return reduce(lambda out, kv: out.when(bare.rlike(kv[1]), kv[0]), HEADER_BEGINNINGS, names).otherwise(bare)
 
 
-def _few(df: DataFrame, most: int, what: str) -> DataFrame:
-    if df.count() > most:
+def _few(df: DataFrame, most: int, what: str) -> list[tuple]:
+    """The rows of a template or list of labels, whose number is checked while it is read."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
         raise ValueError(f"more than {most} {what}; block them first")
-    return F.broadcast(df)
+    return sorted(map(tuple, rows))
+
+
+def _per_text(df: DataFrame, key: str, text: Column, schema: str, found: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """key and the rows that ``found`` gives for each text, in one pass without pairs or joins; null texts have none."""
+    kind = df.schema[key].dataType
+    out = T.StructType([T.StructField(key, kind), *T.StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                for row in found(value) if value is not None else ():
+                    at.append(i), rows.append(row)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * (len(arrow) - 1), list(arrow)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], schema=arrow)
+
+    return df.select(F.col(key), text.alias("__t")).mapInArrow(run, out)
 
 
 def best_by_labels(df: DataFrame, key: str, text: str, candidates: DataFrame, candidate: str, labels: str, least: float = 70.0, most: int = 5_000) -> DataFrame:
-    """key, candidate, score: the id named in the text, else the candidate with the best token set ratio of a label (at least ``least``), else the first id parsed.
+    """key, candidate, score: the id named in the text (101), else the candidate with the best token set ratio of a label (at least ``least``), else the first id parsed (-1).
 
-    ``candidates``: few ids with arrays of labels (size checked), sent to every task.
+    ``candidates``: few ids with arrays of labels (number checked), held by every task.
+    Exact hits and parsed ids are Spark's work; only texts without a hit are compared.
     """
+    flat = candidates.select(F.col(candidate).alias("c"), F.explode(F.concat(F.array(F.col(candidate)), F.coalesce(F.col(labels), F.array().cast("array<string>")))).alias("l")).where("c is not null and l is not null")
+    listed = [(c, label.lower()) for c, label in _few(flat, most, "labels")]
+    known = df.sparkSession.createDataFrame(sorted({(c.upper(), c) for c, _ in listed}) or [("", "")], "__id string, __c string")
     named = df.select(F.col(key), F.col(text).alias("__t"), study_ids(text).alias("__ids"))
-    few = _few(candidates.select(F.col(candidate).alias("__c"), F.explode(F.concat(F.array(F.col(candidate)), F.coalesce(F.col(labels), F.array().cast("array<string>")))).alias("__l")), most, "labels")
-    exact = named.join(few.select("__c").distinct(), F.array_contains("__ids", F.upper("__c"))).select(key, F.col("__c").alias("candidate"), F.lit(101.0).alias("score"))
-    fuzzy = named.where("__t is not null").join(few, F.lit(True)).select(key, F.col("__c").alias("candidate"), token_set_ratio_column(F.lower("__t"), F.lower("__l")).alias("score")).where(F.col("score") >= least)
-    parsed = named.where("size(__ids) > 0").select(key, F.get("__ids", F.lit(0)).alias("candidate"), F.lit(-1.0).alias("score"))
-    return top_per_key(exact.unionByName(fuzzy).unionByName(parsed), [key], [F.desc("score"), F.col("candidate")])
+    # at most ``most`` ids
+    exact = named.select(key, F.explode("__ids").alias("__id")).join(F.broadcast(known), "__id").groupBy(key).agg(F.min("__c").alias("candidate")).withColumn("score", F.lit(101.0))
+
+    def nearest(value: str) -> Iterable[tuple]:
+        low = value.lower()
+        ranked = [(-s, c) for c, label in listed if (s := token_set_ratio(low, label)) >= least]
+        return [(min(ranked)[1], -min(ranked)[0])] if ranked else []
 
+    open_ = named.join(exact.select(key), key, "left_anti")
+    fuzzy = _per_text(open_, key, F.col("__t"), "candidate string, score double", nearest)
+    parsed = open_.join(fuzzy.select(key), key, "left_anti").where("size(__ids) > 0").select(key, F.get("__ids", F.lit(0)).alias("candidate"), F.lit(-1.0).alias("score"))
+    return exact.unionByName(fuzzy).unionByName(parsed)
+
+
+#: Characters of a text compared with titles, as the reference sets it; null compares whole texts.
+COMPARED = 8_000
+
+
+def similar_sections(df: DataFrame, key: str, text: str, sections: DataFrame, number: str, title: str, n: int = 5, cut: int | None = COMPARED, most: int = 2_000) -> DataFrame:
+    """key, number, score, rank: the ``n`` template sections most similar to a text by partial ratio of title, or number and title (0 to 1), ties by number.
+
+    ``cut`` None compares whole texts.
+    """
+    few = [(num, (t or "").lower(), f"{num} {t or ''}".strip().lower()) for num, t in _few(sections.select(number, title).where(F.col(number).isNotNull()), most, "sections")]
 
-def similar_sections(df: DataFrame, key: str, text: str, sections: DataFrame, number: str, title: str, n: int = 5, cut: int = 8000, most: int = 2_000) -> DataFrame:
-    """key, number, score: the ``n`` template sections most similar to a text by partial ratio of number or title (0 to 1)."""
-    few = _few(sections.select(F.col(number).alias("number"), F.lower(number).alias("__n"), F.lower(F.concat_ws(" ", number, title)).alias("__t")), most, "sections")
-    pairs = df.select(key, F.lower(F.substring(F.col(text), 1, cut)).alias("__x")).where("__x <> ''").join(few, F.lit(True))
-    scored = pairs.select(key, "number", F.round(F.greatest(partial_ratio_column(F.col("__n"), F.col("__x")), partial_ratio_column(F.col("__t"), F.col("__x"))) / 100, 3).alias("score"))
-    return top_per_key(scored, [key], [F.desc("score"), F.col("number")], n)
+    def scored(value: str) -> Iterable[tuple]:
+        if not value.strip():
+            return []
+        low = value.lower()[:cut]
+        ranked = sorted((-max(partial_ratio(t, low), partial_ratio(blob, low)), num) for num, t, blob in few)
+        return [(num, round(-s / 100, 3), i) for i, (s, num) in enumerate(ranked[:n], 1)]
 
+    return _per_text(df, key, F.col(text), "number string, score double, rank int", scored)
 
-def section_in_text(df: DataFrame, key: str, text: str, sections: DataFrame, number: str, position: str, most: int = 10_000) -> DataFrame:
-    """key, number, confidence 0.98: the first section (in template order) whose dotted number occurs as a word."""
-    few = _few(sections.where(F.contains(F.col(number), F.lit("."))).select(F.col(number).alias("number"), F.col(position).alias("__p")), most, "sections")
+
+def section_in_text(df: DataFrame, key: str, text: str, sections: DataFrame, number: str, position: str) -> DataFrame:
+    """key, number, confidence 0.98: the first section (in template order) whose dotted number occurs as a word (an equi-join on the numbers of the text)."""
+    few = sections.where(F.contains(F.col(number), F.lit("."))).select(F.col(number).alias("number"), F.col(position).alias("__p"))
     found = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?<![\w.])\d+(?:\.\d+)+(?![\w])"), F.lit(0)))).alias("number"))
     return top_per_key(found.join(few, "number"), [key], [F.col("__p")]).select(key, "number", F.lit(0.98).alias("confidence"))
 
 
+def section_of_name(df: DataFrame, key: str, name: str, sections: DataFrame, number: str, most: int = 10_000) -> DataFrame:
+    """key, number, confidence of the most specific dotted number in a name: 0.99 for a section of the template, else by its nearest number and its depth (at most 0.95)."""
+    known = sorted({r[0] for r in _few(sections.select(number).where(F.col(number).isNotNull()), most, "sections")})
+    exact = frozenset(known)
+
+    def guess(value: str) -> Iterable[tuple]:
+        found = re.findall(r"\b\d+(?:\.\d+)+\b", value, re.ASCII)
+        if not found:
+            return []
+        best = max(found, key=lambda s: (s.count("."), len(s)))
+        if best in exact:
+            return [(best, 0.99)]
+        near = max((partial_ratio(best, s) / 100 for s in known), default=0.0)
+        return [(best, round(min(0.95, max(near, 0.5) + min(0.2, 0.05 * best.count("."))), 3))]
+
+    return _per_text(df, key, F.col(name), "number string, confidence double", guess)
+
+
+def classified(df: DataFrame, key: str, name: str, text: str, sections: DataFrame, number: str, title: str, position: str) -> DataFrame:
+    """key, number, confidence, method: the section by file name, else by a number in the text, else by similarity of titles. Each step sees only what the one before left open."""
+    by_name = section_of_name(df, key, name, sections, number).withColumn("method", F.lit("filename"))
+    open_ = df.join(by_name.select(key), key, "left_anti")
+    by_number = section_in_text(open_, key, text, sections, number, position).withColumn("method", F.lit("regex"))
+    rest = open_.join(by_number.select(key), key, "left_anti")
+    alike = similar_sections(rest, key, text, sections, number, title, 1).select(key, "number", F.col("score").alias("confidence"), F.lit("heuristic").alias("method"))
+    return by_name.unionByName(by_number).unionByName(alike)
+
+
+def chosen_family(first: Column, second: Column) -> Column:
+    """Which of two classifications (structs number, confidence) counts: the second unless it is null, of module 2, or without a module less certain."""
+    module = F.regexp_extract(second["number"], r"^(\d+)", 1)
+    return F.when(second.isNull(), first).when(first.isNull(), second).when((module != "") & (module != "2"), second).when(module == "2", first).when(second["confidence"] > first["confidence"], second).otherwise(first)
+
+
 def realign(tables: DataFrame, key: str, subsection: str, columns: str, specs: DataFrame, spec: str, spec_columns: str) -> DataFrame:
     """key, subsection, moved: a table goes to the specification that shares most of its columns.
 
@@ -101,15 +185,17 @@ def with_overrides(template: DataFrame, overrides: DataFrame, key: str, payload:
 
 
 def fields_present(df: DataFrame, key: str, corpus: str, fields: DataFrame, field: str, most: int = 5_000) -> DataFrame:
-    """key, field, present: the field's text is in the corpus, or nearly (partial ratio 88), or enough of its words are (60 %, at least one)."""
-    few = _few(fields.select(F.col(field).alias("field"), F.lower(F.trim(field)).alias("__f")).where("__f <> ''").distinct(), most, "fields")
-    pairs = df.select(key, F.lower(F.coalesce(F.col(corpus), F.lit(""))).alias("__x")).join(few, F.lit(True))
-    words = F.filter(tokens("__f"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
-    hits = F.size(F.filter(words, lambda w: F.contains(F.col("__x"), w)))
-    plain = F.contains(F.col("__x"), F.col("__f")) | ((F.size(words) > 0) & (hits >= F.greatest(F.lit(1), F.floor(F.size(words) * 0.6))))
-    # the costly ratio only for what the cheap tests leave open
-    near = F.when(plain | (F.col("__x") == ""), F.lit(0.0)).otherwise(partial_ratio_column(F.when(~plain, F.col("__f")), F.when(~plain, F.col("__x"))))
-    return pairs.select(key, "field", ((F.col("__x") != "") & (plain | (F.coalesce(near, F.lit(0.0)) >= 88))).alias("present"))
+    """key, field, present: the field's text is in the corpus, or nearly (partial ratio 88), or enough of its words are (60 %, at least one). Blank fields are left out; a null corpus holds none."""
+    names = [r[0] for r in _few(fields.select(F.col(field).cast("string").alias("f")).where("trim(f) <> ''").distinct(), most, "fields")]
+    wanted = [(f, f.strip().lower(), [w for w in re.findall("[a-z0-9]+", f.lower()) if len(w) > 1 and w not in STOP_WORDS]) for f in names]
+
+    def present(value: str) -> Iterable[tuple]:
+        low = value.lower()
+        for name, plain, words in wanted:
+            held = sum(w in low for w in words)
+            yield name, bool(low) and (plain in low or (bool(words) and held >= max(1, int(0.6 * len(words)))) or partial_ratio(plain, low) >= 88)
+
+    return _per_text(df, key, F.coalesce(F.col(corpus), F.lit("")), "field string, present boolean", present)
 
 
 def round_trip_sections(module: Column, mapping: dict[str, str]) -> Column:

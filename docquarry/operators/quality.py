@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import alnum_key, module_number, path_mentions_section, section_matches
+from docquarry.functions.text import alnum_key, module_number, path_mentions_section, section_matches, short_module
 
 
 def page_coverage(pages: DataFrame, key: str = "source_document_id") -> DataFrame:
@@ -40,7 +40,7 @@ def issues(documents: DataFrame) -> DataFrame:
     rules = [
         ("warning", "name without study number", ~F.col("file_name").rlike(r"[A-Za-z]{2}\d{2}[-_ ]?\d{7}")),
         ("warning", "no section", F.trim(F.coalesce("ctd_section", F.lit(""))) == ""),
-        ("warning", "unknown module", module_number("module").isNull()),
+        ("warning", "unknown module", module_number(short_module("module")).isNull()),
         ("error", "deleted before upload", F.col("deleted_at") < F.col("uploaded_at")),
     ]
     hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(m).alias("message"))) for s, m, c in rules]), lambda x: x.isNotNull())
@@ -49,7 +49,7 @@ def issues(documents: DataFrame) -> DataFrame:
 
 def module_coverage(documents: DataFrame) -> DataFrame:
     """module 1 to 5 with n_files, n_deleted (zeros kept) and the first five names in order."""
-    once = documents.dropDuplicates(["id"]).withColumn("m", module_number("module"))
+    once = documents.dropDuplicates(["id"]).withColumn("m", module_number(short_module("module")))
     ranked = once.groupBy("m").agg(F.count("*").alias("n_files"), F.count_if(F.col("deleted_at").isNotNull()).alias("n_deleted"))
     names = once.where("file_name is not null").select("m", "file_name").distinct()
     from docquarry.operators.relational import top_per_key

@@ -82,10 +82,19 @@ def expand_interval(df: DataFrame, start: str, end: str, out: str) -> DataFrame:
     return ok.withColumn(out, F.explode(F.sequence(start, end)))
 
 
-def interval_join(left: DataFrame, start: str, end: str, right: DataFrame, at: str, keys: list[str], margin: int = 0) -> DataFrame:
-    """Rows whose integer ``at`` lies within start - margin .. end + margin: intervals are expanded for an equi-join."""
+def interval_join(left: DataFrame, start: str, end: str, right: DataFrame, at: str, keys: list[str], margin: int = 0, null_meets_all: bool = False) -> DataFrame:
+    """Rows whose integer ``at`` lies within start - margin .. end + margin (a null end is the start): intervals are expanded for an equi-join.
+
+    ``null_meets_all``: a null start or a null ``at`` meets every row of its keys; else it meets none.
+    """
     wide = left.withColumn("__s", F.col(start) - margin).withColumn("__e", F.coalesce(F.col(end), F.col(start)) + margin)
-    return expand_interval(wide, "__s", "__e", at).join(right, [*keys, at]).drop("__s", "__e")
+    met = expand_interval(wide, "__s", "__e", at).join(right, [*keys, at]).drop("__s", "__e")
+    if not null_meets_all:
+        return met
+    columns = met.columns
+    open_start = left.where(F.col(start).isNull()).join(right, keys)
+    open_at = left.where(F.col(start).isNotNull()).join(right.where(F.col(at).isNull()), keys)
+    return met.unionByName(open_start.select(*columns)).unionByName(open_at.select(*columns))
 
 
 def attach_in_order(left: DataFrame, key: str, ids: str, right: DataFrame, right_id: str, fields: list[str], out: str) -> DataFrame:

@@ -146,10 +146,10 @@ def chunks_on_pages(ncd_text_chunk, ncd_document_page):
     return R.interval_join(_chunk_pages(ncd_text_chunk), "page_from", "page_to", pages, "page_number", ["source_document_id"]).select("id", "page_id")
 
 
-@query(f"select c.id, p.page_id from {_KEYED_CHUNKS} c join {_PAGES} p on p.source_document_id = c.source_document_id and p.page_number between c.page_from - 1 and coalesce(c.page_to, c.page_from) + 1")
+@query(f"select c.id, p.page_id from {_KEYED_CHUNKS} c join {_PAGES} p on p.source_document_id = c.source_document_id and (p.page_number is null or c.page_from is null or p.page_number between c.page_from - 1 and coalesce(c.page_to, c.page_from) + 1)")
 def chunks_near_pages(ncd_text_chunk, ncd_document_page):
     pages = ncd_document_page.select(F.col("id").alias("page_id"), "source_document_id", "page_number").distinct()
-    return R.interval_join(_chunk_pages(ncd_text_chunk), "page_from", "page_to", pages, "page_number", ["source_document_id"], 1).select("id", "page_id")
+    return R.interval_join(_chunk_pages(ncd_text_chunk), "page_from", "page_to", pages, "page_number", ["source_document_id"], 1, null_meets_all=True).select("id", "page_id")
 
 
 @query("""with s as (select study_id, any_value(source_chunk_ids) as ids from tox_study_summary group by study_id),
@@ -233,7 +233,7 @@ def page_coverage(ncd_document_page):
     return Q.page_coverage(ncd_document_page)
 
 
-@query("""with d as (select distinct on (id) id, file_name, deleted_at, cast(nullif(regexp_extract(lower(trim(coalesce(module, ''))), '^(?:m|module[\\s._-]*)?([1-5])(?:[^0-9]|$)', 1), '') as integer) as m from ncd_source_document),
+@query("""with d as (select distinct on (id) id, file_name, deleted_at, cast(nullif(regexp_extract(regexp_replace(lower(trim(coalesce(module, ''))), '^m *([1-5])$', 'module \\1'), '^([1-5])$|\\bmodule[\\s._-]*([1-5])(?:[^0-9]|$)', ['a', 'b']).a || regexp_extract(regexp_replace(lower(trim(coalesce(module, ''))), '^m *([1-5])$', 'module \\1'), '^([1-5])$|\\bmodule[\\s._-]*([1-5])(?:[^0-9]|$)', ['a', 'b']).b, '') as integer) as m from ncd_source_document),
  n as (select m, file_name, row_number() over (partition by m order by file_name) as r from (select distinct m, file_name from d where file_name is not null))
  select k as module, (select count(*) from d where m = k) as n_files, (select count(*) from d where m = k and deleted_at is not null) as n_deleted, coalesce((select list(file_name order by file_name) from n where m = k and r <= 5), []) as sample from (select unnest([1, 2, 3, 4, 5]) as k)""")
 def module_coverage(ncd_source_document):
@@ -250,7 +250,7 @@ def blank_cells(ncd_source_document):
 @query("""with d as (select distinct on (id) id, file_name, ctd_section, uploaded_at, deleted_at, lower(trim(coalesce(module, ''))) as m from ncd_source_document)
  select id, 'warning' as severity, 'name without study number' as message from d where not regexp_matches(file_name, '[A-Za-z]{2}[0-9]{2}[-_ ]?[0-9]{7}')
  union all select id, 'warning', 'no section' from d where trim(coalesce(ctd_section, '')) = ''
- union all select id, 'warning', 'unknown module' from d where not regexp_matches(m, '^(?:m|module[\\s._-]*)?[1-5](?:[^0-9]|$)')
+ union all select id, 'warning', 'unknown module' from d where not regexp_matches(m, '^(m *)?[1-5]$|\\bmodule[\\s._-]*[1-5](?:[^0-9]|$)')
  union all select id, 'error', 'deleted before upload' from d where deleted_at < uploaded_at""")
 def document_issues(ncd_source_document):
     return Q.issues(ncd_source_document)

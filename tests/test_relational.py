@@ -35,6 +35,9 @@ def test_intervals_and_order(spark):
     pages = spark.createDataFrame([(1,), (2,), (4,)], "n int")
     assert rows(R.interval_join(a, "s", "e", pages, "n", []).select("id", "n")) == [("x", 1), ("x", 2)]
     assert rows(R.interval_join(a, "s", "e", pages, "n", [], 1).select("id", "n")) == [("x", 1), ("x", 2), ("y", 2), ("y", 4)]
+    c = spark.createDataFrame([("a", 1, 2, 2), ("b", 1, None, 5), ("c", 2, 1, None)], "id string, k int, s int, e int")
+    p = spark.createDataFrame([("p", 1, 3), ("q", 1, None), ("r", 1, 9), ("t", 2, 1)], "p string, k int, n int")
+    assert rows(R.interval_join(c, "s", "e", p, "n", ["k"], 1, null_meets_all=True).select("id", "p")) == [("a", "p"), ("a", "q"), ("b", "p"), ("b", "q"), ("b", "r"), ("c", "t")]
     left = spark.createDataFrame([(1, ["b", "q", "a", "b"]), (2, None), (3, [])], "k int, ids array<string>")
     right = spark.createDataFrame([("a", 10), ("b", 20)], "id string, v int")
     got = {r["k"]: [x["v"] for x in r["out"]] for r in R.attach_in_order(left, "k", "ids", right, "id", ["v"], "out").collect()}

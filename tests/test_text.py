@@ -37,7 +37,9 @@ def test_sections(spark):
 
 def test_modules_and_labels(spark):
     f = lambda v: one(spark, X.module_number("v"), v=v)
-    assert [f(x) for x in ("Module 1. Intro", "module4_tox", "5", "m3", "no-module", None, "45")] == [1, 4, 5, 3, None, None, None]
+    assert [f(x) for x in ("Module 1. Intro", "module4_tox", "5", "m3", "no-module", None, "45")] == [1, 4, 5, None, None, None, None]
+    assert [f(x) for x in ("CTD Module 4", "4 weeks", "2.6.3", "submodule 2", "module 45")] == [4, None, None, None, None]
+    assert one(spark, X.module_number(X.short_module("v")), v="m3") == 3 and one(spark, X.short_module("v"), v="m3 data") == "m3 data"
     assert one(spark, X.glp("v"), v="not GLP") == "Non-GLP" and one(spark, X.glp("v"), v="yes") == "GLP" and one(spark, X.glp("v"), v=None) == ""
     assert one(spark, X.merge_segments("a", "b"), a="x; Y", b="y;z") == "x; Y; z"
     assert one(spark, X.study_type("v"), v="28-day repeated-dose study") == "repeat_dose_tox" and one(spark, X.study_type("v"), v="none") is None
