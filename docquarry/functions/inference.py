@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import _c, blank_to_null, clip, compact_number, glp, labels_by_pattern, merge_segments, ordered_distinct, path_mentions_section, squeeze, study_ids
+from docquarry.functions.text import _c, blank_to_null, clip, compact_number, glp, labels_by_pattern, let, merge_segments, ordered_distinct, path_mentions_section, squeeze, study_ids
 
 # Routes, strains with their species, species, dose and group size patterns, parts of words that show endpoints and effects, and what findings say.
 ROUTES = [
@@ -120,7 +120,7 @@ def clean_block(c: Column | str) -> Column:
     line = lambda x: F.regexp_replace(x, "[·•◦●∙]", "")
     noisy = lambda x: (F.length(x) >= 25) & (F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) < 0.25 * F.length(x))
     lines = F.transform(F.split(F.coalesce(_c(c), F.lit("")), r"\r\n|\n|\r"), line)
-    return F.array_join(F.filter(F.transform(F.filter(lines, lambda x: ~noisy(x)), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.filter(lines, lambda x: ~noisy(x)), lambda v: F.trim(v)), lambda x: x != ""), "\n")
 
 
 # What a text says of a study
@@ -183,8 +183,9 @@ def findings_summary(fragments: Column) -> Column:
     parts = ordered_distinct(F.flatten(F.transform(fragments, lambda f: F.coalesce(_plain_clauses(f), F.array().cast("array<string>")))))
     none = lambda x: x.rlike(NO_CHANGE)
     some = lambda x: ~x.rlike(NO_CHANGE) & x.rlike(CHANGE)
-    chosen = F.concat(F.slice(F.filter(parts, none), 1, 1), F.slice(F.filter(parts, some), 1, 2))
-    return clip(F.array_join(F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(parts, 1, 2)), "; "), 900)
+    chosen = lambda ps: F.concat(F.slice(F.filter(ps, none), 1, 1), F.slice(F.filter(ps, some), 1, 2))
+    text = let(parts, lambda ps: let(chosen(ps), lambda c: F.array_join(F.when(F.size(c) > 0, c).otherwise(F.slice(ps, 1, 2)), "; ")))
+    return clip(text, 900)
 
 
 def _plain_clauses(x: Column, most: int = 4) -> Column:
@@ -245,7 +246,7 @@ def header_list(c: Column | str) -> Column:
     """Column names of a header text: parted by ";", or by "|" where it has none; blanks dropped."""
     t = F.coalesce(_c(c), F.lit(""))
     parts = F.when(F.contains(t, F.lit(";")) | ~F.contains(t, F.lit("|")), F.split(t, ";")).otherwise(F.split(t, r"\|"))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda v: F.trim(v)), lambda x: x != "")
 
 
 def meaningful_cells(cells: dict[str, Column], token: dict[str, str]) -> Column:

@@ -32,11 +32,15 @@ def alnum_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]", "")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once (an expression within a lambda is computed for every element)."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def ordered_distinct(items: Column, key=F.lower) -> Column:
     """Items whose key hasn't occurred before, in order (first spelling kept); null items dropped."""
-    kept = F.filter(items, lambda x: x.isNotNull())
-    keys = F.transform(kept, key)
-    return F.filter(kept, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    first = lambda kept: lambda keys: F.filter(kept, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return let(F.filter(items, lambda x: x.isNotNull()), lambda kept: let(F.transform(kept, lambda x: key(x)), first(kept)))
 
 
 def tokens(c: Column | str) -> Column:
@@ -218,7 +222,7 @@ def is_placeholder(c: Column | str) -> Column:
 def merge_segments(*cs: Column | str) -> Column:
     """Parts between semicolons of several texts, distinct but for case, in order, joined by "; "."""
     parts = F.flatten(F.array(*[F.split(F.coalesce(_c(c), F.lit("")), r"\s*;\s*") for c in cs]))
-    return F.array_join(ordered_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != "")), "; ")
+    return F.array_join(ordered_distinct(F.filter(F.transform(parts, lambda v: F.trim(v)), lambda x: x != "")), "; ")
 
 
 def sentences(c: Column | str, most: int = 4) -> Column:
@@ -285,7 +289,7 @@ def path_context(c: Column | str) -> Column:
 def clean_path(*cs: Column | str) -> Column:
     """Path segments joined, without empty ones, ``.`` and ``..``."""
     parts = F.flatten(F.array(*[F.split(F.coalesce(_c(c), F.lit("")), r"[/\\]") for c in cs]))
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: ~x.isin("", ".", "..")), "/")
+    return F.array_join(F.filter(F.transform(parts, lambda v: F.trim(v)), lambda x: ~x.isin("", ".", "..")), "/")
 
 
 def file_type(c: Column | str) -> Column:
@@ -315,7 +319,7 @@ def label_values(text: Column | str, labels: list[str]) -> Column:
     """Values behind ``label:`` (or -, |, two blanks) at line starts, in label order."""
     t = F.coalesce(_c(text), F.lit(""))
     found = [F.regexp_extract_all(t, F.lit(r"(?im)^[ \t]*" + label + r"[ \t]*(?:[:|-]|[ \t]{2,})[ \t]*(\S[^\n]*)$"), F.lit(1)) for label in labels]
-    return F.transform(F.flatten(F.array(*found)), F.trim)
+    return F.transform(F.flatten(F.array(*found)), lambda v: F.trim(v))
 
 
 def markdown_images(text: Column | str) -> Column:

@@ -183,7 +183,7 @@ def overview(key: Column | str, file_name: Column | str, markdown: Column | str,
 
 def first_line_metadata(text: Column | str) -> Column:
     """Struct title, study_no, facility, sponsor, date: the first line that matches one of a field's patterns; the title falls back to the first line of three words."""
-    lines = F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), r"\r\n|\n|\r"), lambda v: F.trim(v)), lambda x: x != "")
 
     def first(patterns: list[str]) -> Column:
         each = F.transform(lines, lambda line: F.coalesce(*[F.nullif(F.trim(F.regexp_extract(line, "(?i)" + p, 1)), F.lit("")) for p in patterns]))

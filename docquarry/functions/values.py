@@ -69,7 +69,8 @@ def json_merge(old: Column | str, new: Column | str) -> Column:
 
 
 def clamp(c: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(c, F.lit(high)))
+    """The value within low and high; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(c, F.lit(high))))
 
 
 def weighted_mean(scores: list[tuple[Column | str, float]]) -> Column:
@@ -77,3 +78,8 @@ def weighted_mean(scores: list[tuple[Column | str, float]]) -> Column:
     total = sum((F.when(_c(s).isNotNull(), w).otherwise(0.0) for s, w in scores), F.lit(0.0))
     value = sum((F.coalesce(_c(s).cast("double") * w, F.lit(0.0)) for s, w in scores), F.lit(0.0))
     return F.when(total > 0, value / total)
+
+
+def iso_utc(c: Column | str) -> Column:
+    """A time (taken as UTC) as ISO 8601 text with Z."""
+    return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -14,28 +14,10 @@ from docquarry.operators import sections as S
 from docquarry.operators import studies as P
 from docquarry.operators import tables as B
 from docquarry.operators import vectors as N
+from docquarry.plans.registry import registry
 from docquarry.streaming import jobs as J
-from docquarry.tables import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of the tables it names as a query, with its SQL."""
-
-    def add(f):
-        names = f.__code__.co_varnames[: f.__code__.co_argcount]
-
-        def run(spark: SparkSession, d: str) -> DataFrame:
-            return f(*[table(spark, d, n) for n in names])
-
-        QUERIES[f.__name__] = run
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query, QUERIES, SQL = registry()
 
 
 # Latest and best rows
@@ -419,20 +401,6 @@ def section_labels(ncd_text_chunk):
     return ncd_text_chunk.select("id", "section_label").distinct().select("id", X.section_label("section_label").alias("section"))
 
 
-@query("""with d as (select distinct id, file_name from ncd_source_document where file_name is not null)
- select id, list_distinct(list_transform(list_filter(regexp_extract_all(file_name, '[A-Za-z]{2}[0-9]{2}-[0-9]{7}'), lambda x: true), lambda x: upper(x))) as ids from d where regexp_matches(file_name, '^[A-Z]{2}[0-9]{2}-[0-9]{7}[_ ][A-Za-z_ 0-9]*\\.pdf$')""")
-def study_ids_of_names(ncd_source_document):
-    rows = ncd_source_document.select("id", "file_name").distinct().where(r"file_name rlike '^[A-Z]{2}[0-9]{2}-[0-9]{7}[_ ][A-Za-z_ 0-9]*\\.pdf$'")
-    return rows.select("id", F.transform(X.study_ids(F.replace("file_name", F.lit("_"), F.lit(" "))), F.upper).alias("ids"))
-
-
-@query()
-def study_ids_of_all_names(ncd_source_document):
-    """Identifiers of every file name; SQL's regular expressions can't express them."""
-    rows = ncd_source_document.select("id", "file_name").distinct()
-    return rows.select("id", X.study_ids(F.replace("file_name", F.lit("_"), F.lit(" "))).alias("ids"))
-
-
 @query("""with t as (select doc_id, lower(coalesce(text, '')) as t from documents)
  select doc_id, list_filter([case when contains(t, 'liver') or contains(t, 'hepat') or contains(t, 'alt') or contains(t, 'ast') or contains(t, 'bilirubin') then 'hepatotoxicity' end,
   case when contains(t, 'kidney') or contains(t, 'renal') or contains(t, 'creatinine') then 'nephrotoxicity' end, case when contains(t, 'qt') or contains(t, 'ecg') or contains(t, 'herg') then 'qt_prolongation' end,
