@@ -14,7 +14,7 @@ from docquarry.operators import sections as S
 from docquarry.operators import studies as P
 from docquarry.operators import tables as B
 from docquarry.operators import vectors as N
-from docquarry.plans.registry import registry
+from docquarry.plans.registry import registry, sql_labels
 from docquarry.streaming import jobs as J
 
 query, QUERIES, SQL = registry()
@@ -272,12 +272,19 @@ def finding_summary(ncd_finding):
     return P.finding_summary(ncd_finding)
 
 
-@query()
+@query(f"""with m as (select distinct on (id) * from ncd_exposure_metric where parameter is not null and value is not null),
+ t as (select study_id, id, concat_ws(' ', nullif(trim(parameter, ' '), ''), regexp_replace(cast(cast(cast(value as varchar) as decimal(38, 10)) as varchar), '[.]?0+$', ''), nullif(trim(unit, ' '), ''), case when trim(timepoint, ' ') <> '' then '(' || trim(timepoint, ' ') || ')' end) as v from m),
+ d as (select * from t qualify row_number() over (partition by study_id, lower(v) order by id) = 1), r as (select *, row_number() over (partition by study_id order by id) as n from d)
+ select study_id, list(v order by n) as items from r where n <= 8 group by 1""")
 def exposure_summary(ncd_exposure_metric):
     return P.exposure_summary(ncd_exposure_metric)
 
 
-@query()
+@query("""with g as (select distinct on (id) id, study_id, coalesce(regexp_matches(lower(name), 'vehicle|control'), false) or coalesce(dose_mg_per_kg = 0, false) as control, case when dose_mg_per_kg <> 0 then regexp_replace(cast(cast(cast(dose_mg_per_kg as varchar) as decimal(38, 10)) as varchar), '[.]?0+$', '') end as dose, trim(coalesce(sex, ''), ' ') as s, n_animals as n from ncd_dose_group),
+ x as (select *, case when upper(s) in ('M', 'MALE') then 'Male' when upper(s) in ('F', 'FEMALE') then 'Female' when upper(s) in ('M/F', 'F/M', 'MALE/FEMALE', 'FEMALE/MALE') then 'Male/Female' else s end as label from g), y as (select *, case when label <> '' then label || coalesce(', n=' || n, '') end as sx from x),
+ d as (select study_id, string_agg(dose, ', ' order by i) as d from (select study_id, lower(dose) as k, arg_min(dose, id) as dose, min(id) as i from y where dose is not null group by 1, 2) group by 1), e as (select study_id, string_agg(sx, '; ' order by i) as e, count(*) as n from (select study_id, lower(sx) as k, arg_min(sx, id) as sx, min(id) as i from y where sx is not null group by 1, 2) group by 1),
+ b as (select study_id, bool_or(control) as c from y group by 1)
+ select study_id, case when c then case when d is null then 'Vehicle control' else d || ' (plus vehicle control)' end else coalesce(d, '') end as doses, case when n = 1 then e || ' (1 group)' else coalesce(e, '') end as sexes from b left join d using (study_id) left join e using (study_id)""")
 def dose_summary(ncd_dose_group):
     return P.dose_summary(ncd_dose_group)
 
@@ -409,8 +416,7 @@ def document_topics(documents):
     return documents.select("doc_id", X.topics("text").alias("topics"))
 
 
-@query("""select distinct id, case when regexp_matches(t, 'repeated[- ]dose|28[- ]day|90[- ]day|subchronic|chronic') then 'repeat_dose_tox' when regexp_matches(t, 'single[- ]dose|acute toxicity') then 'single_dose_tox' when regexp_matches(t, 'safety pharmacology|cardiovascular|cns|respiratory') then 'safety_pharmacology'
-  when regexp_matches(t, 'pharmacokinetic|toxicokinetic|tk|pk ') then 'pk_tk' end as study_type from (select id, lower(replace(replace(file_name, '_', ' '), '-', ' ')) as t from ncd_source_document)""")
+@query(f"""select distinct id, {sql_labels('t', X.STUDY_TYPES)}[1] as study_type from (select id, lower(replace(replace(coalesce(file_name, ''), '_', ' '), '-', ' ')) as t from ncd_source_document)""")
 def study_types(ncd_source_document):
     return ncd_source_document.select("id", X.study_type(F.translate("file_name", "_-", "  ")).alias("study_type")).distinct()
 
@@ -437,22 +443,45 @@ def line_offsets(documents):
     return S.lines(documents, "doc_id", "text").select("doc_id", "line_no", "offset")
 
 
-@query()
+_NUMBERED_LINE = r"^\s{0,6}(?:(?:Section|SECTION|Sec\.?)\s*)?(\d+(?:\.\d+){1,3}(?:-[A-Za-z0-9]+)?)(.*)$"
+
+
+@query(rf"""with p as (select distinct on (id) id, text from ncd_document_page), l as (select id, length(text) as len, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from p where text is not null),
+ o as (select *, coalesce(sum(length(line) + 1) over (partition by id order by i rows between unbounded preceding and 1 preceding), 0) as pos, regexp_replace(line, '\r$', '') as x from l),
+ m as (select *, regexp_extract(x, '{_NUMBERED_LINE}', 1) as num, regexp_extract(x, '{_NUMBERED_LINE}', 2) as tail from o where regexp_matches(x, '{_NUMBERED_LINE}') and not starts_with(ltrim(line, ' '), '#') and not starts_with(ltrim(line, ' '), '|') and not regexp_matches(line, '\.{{2,}}\s*\d+\s*$')),
+ t as (select *, trim(regexp_replace(regexp_replace(tail, '^[\s\-:).]+', ''), '\s{{2,}}', ' ', 'g'), ' ') as title from m), k as (select *, case when regexp_matches(title, '\p{{L}}') then left(title, 200) end as section_title from t where regexp_matches(title, '\p{{L}}') or not regexp_matches(tail, '[\p{{L}}\d]')),
+ f as (select * from k qualify row_number() over (partition by id, num order by pos) = 1)
+ select id, num as section_number, section_title, cast(pos as integer) as char_start, cast(coalesce(lead(pos) over (partition by id order by pos), len) as integer) as char_end, cast(null as integer) as page_start, cast(null as integer) as page_end from f""")
 def section_spans(ncd_document_page):
     return S.section_spans(ncd_document_page.select("id", "text").dropDuplicates(["id"]), "id", "text")
 
 
-@query()
+_OUTER = r"^[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+$"
+
+
+@query(rf"""with recursive p as (select distinct on (id) id, source_document_id as d, page_number as n, text from ncd_document_page where source_document_id is not null), s as (select d, n, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) as para, generate_subscripts(string_split(coalesce(text, ''), chr(10) || chr(10)), 1) as j from p),
+ q as (select d, n, regexp_replace(para, '{_OUTER}', '', 'g') as para, row_number() over (partition by d order by n, j) as i from s where regexp_replace(para, '{_OUTER}', '', 'g') <> ''), z as (select d, max(n) as last from p group by 1), c as (select d, count(*) as c from q group by 1),
+ r as (select d, cast(0 as bigint) as i, '' as buf, cast(null as integer) as start, cast(null as integer) as f, cast(null as integer) as t, cast(null as varchar) as chunk from c
+  union all select q.d, q.i, case when length(buf) + length(para) > 1500 then '' else buf end || para || chr(10) || chr(10), case when length(buf) + length(para) > 1500 or buf = '' then q.n else start end, case when length(buf) + length(para) > 1500 and buf <> '' then start end, case when length(buf) + length(para) > 1500 and buf <> '' then q.n end, case when length(buf) + length(para) > 1500 and buf <> '' then buf end from r join q on q.d = r.d and q.i = r.i + 1),
+ e as (select d, i, f, t, chunk from r where chunk is not null union all select r.d, r.i + 1, start, last, buf from r join c on r.d = c.d and r.i = c.c join z on z.d = r.d),
+ x as (select d, f, t, chunk, row_number() over (partition by d order by i) as no, regexp_extract_all(chunk, '\b4\.[0-9](?:\.[0-9]+){{0,2}}\b') as ss, lower(chunk) as l from e),
+ w as (select *, list_filter(ss, lambda v, k: list_position(ss, v) = k) as sections from x)
+ select d as source_document_id, cast(no as integer) as chunk_no, f as page_from, t as page_to, chunk as raw_text, sections, sections[1] as section_label, case when sections[1] is not null then left(trim(split_part(substr(chunk, strpos(chunk, sections[1]) + length(sections[1])), chr(10), 1), ' '), 200) end as section_title,
+  {sql_labels('l', [(name, '|'.join(words)) for name, words in X.TOPICS.items()])} as topics from w""")
 def packed_chunks(ncd_document_page):
     return K.annotate_chunks(K.pack_pages(ncd_document_page.dropDuplicates(["id"])))
 
 
-@query()
+@query(rf"""with recursive d as (select doc_id, regexp_replace(text, '{_OUTER}', '', 'g') as t from documents where text is not null), b as (select doc_id, t, length(t) as n from d where t <> ''),
+ w as (select doc_id, 1 as window_no, cast(0 as bigint) as a, {{0}} as z from (select doc_id, t, n, cast(0 as bigint) as a from b)
+  union all select doc_id, window_no + 1, a, {{0}} from (select w.doc_id, w.window_no, w.z - 200 as a, b.t, b.n from w join b using (doc_id) where w.z < b.n))
+ select doc_id, window_no, regexp_replace(substr(t, a + 1, z - a), '{_OUTER}', '', 'g') as "window" from w join b using (doc_id) where regexp_replace(substr(t, a + 1, z - a), '{_OUTER}', '', 'g') <> ''""".replace("{0}", "case when a + 2000 >= n then n when contains(substr(t, a + 1, 2000), ' ') and length(regexp_extract(substr(t, a + 1, 2000), '(?s)^(.*) [^ ]*$', 1)) > 200 then a + length(regexp_extract(substr(t, a + 1, 2000), '(?s)^(.*) [^ ]*$', 1)) else a + 2000 end"))
 def char_windows(documents):
     return K.char_windows(documents, "doc_id", "text", 2000, 200)
 
 
-@query()
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents), k as (select *, sum(case when regexp_matches(line, '^\\s*\\d+ [A-Z]') then 1 else 0 end) over (partition by doc_id order by n) as s from l where trim(line, ' ') <> ''),
+ f as (select *, s - min(s) over (partition by doc_id) + 1 as no from k) select doc_id, cast(no as integer) as segment_no, string_agg(line, chr(10) order by n) as segment from f group by 1, 2""")
 def heading_segments(documents):
     return K.split_at_headings(documents, "doc_id", "text", r"^\s*\d+ [A-Z]")
 
@@ -502,6 +531,9 @@ def streamed_latest_status(spark: SparkSession, d: str) -> DataFrame:
 _stream(streamed_latest_status, "select cast(user_id as varchar) as document_id, event_type as stage, 's' || lpad(cast(event_id as varchar), 9, '0') as status from events qualify row_number() over (partition by user_id, event_type order by date_trunc('second', ts) desc, event_id desc) = 1")
 
 
-@query()
+@query("""with recursive e as (select event_id, user_id, epoch_us(ts) / 1e6 as t, row_number() over (partition by user_id order by ts, event_id) as i from events),
+ r as (select user_id, cast(0 as bigint) as i, cast(null as bigint) as event_id, cast([] as double[]) as log, cast(null as integer) as retry_after from e where i = 1
+  union all select user_id, i, event_id, case when len(kept) >= 3 then kept else list_append(kept, t) end, case when len(kept) >= 3 then greatest(1, cast(trunc(kept[1] + 86400.0 - t) as integer)) end from (select e.user_id, e.i, e.event_id, e.t, list_filter(r.log, lambda x: x > e.t - 86400.0) as kept from r join e on e.user_id = r.user_id and e.i = r.i + 1))
+ select user_id, event_id, retry_after from r where i > 0""")
 def rate_limited_events(events):
     return J.limited(events, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "event_id", 3, 86_400.0)

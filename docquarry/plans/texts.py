@@ -259,8 +259,9 @@ _LCS = """lcs as (with recursive step as (select i, j, k, a, b, 0 as n, list_tra
  pairs as (select i, j, w as k, s as a, substr(l, greatest(w, 1), w + length(s) - greatest(w, 1)) as b from o, unnest(range(2 - length(s), length(l) + 1)) as u(w)), {_LCS}
  select i, j, round(max(ratio), 4) as partial from lcs group by 1, 2""")
 def partial_ratios(nation, region):
-    """Every nation's name compared with the five names of a stated list."""
-    pairs = nation.select(F.col("n_nationkey").alias("i"), F.lower("n_name").alias("a")).join(F.broadcast(region.limit(5).select(F.col("r_regionkey").alias("j"), F.lower("r_name").alias("b"))))
+    """Every nation's name compared with the names of a stated list, the regions."""
+    names = F.array(*[F.struct(F.lit(r[0]).alias("j"), F.lit(r[1].lower()).alias("b")) for r in region.select("r_regionkey", "r_name").collect()])  # five fixed rows
+    pairs = nation.select(F.col("n_nationkey").alias("i"), F.lower("n_name").alias("a"), F.inline(names))
     return pairs.select("i", "j", F.round(Z.partial_ratio_column(F.col("a"), F.col("b")), 4).alias("partial"))
 
 

@@ -189,3 +189,11 @@ def required_fields(entry: dict) -> list[str]:
     for name in ("validation_rules", "extraction_focus"):
         walk(entry.get(name) or {})
     return list({v.lower(): v for v in reversed(found)}.values())[::-1]
+
+
+def first_with_text(engines: list[tuple[str, DataFrame]], page: str, text: str, probe: int = 3) -> tuple[str, DataFrame]:
+    """The first engine whose first ``probe`` pages hold any text, with its whole output; the last one if none does."""
+    for name, pages in engines:
+        if not pages.where((F.col(page) <= probe) & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")).isEmpty():
+            return name, pages
+    return engines[-1]

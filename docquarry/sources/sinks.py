@@ -54,3 +54,16 @@ def run_report(log: DataFrame, stage: str = "stage", status: str = "status", err
     counts = log.groupBy(stage).agg(*[F.count_if(F.col(status) == s).alias(f"n_{s}") for s in ("processed", "failed", "skipped")])
     errors = log.where(F.col(error).isNotNull()).groupBy(F.trim(F.substring_index(error, ":", 1)).alias("error")).agg(F.count("*").alias("n"))
     return counts, errors
+
+
+def commented_documents(pages: DataFrame, key: str) -> DataFrame:
+    """key, markdown: pages in order behind ``<!-- Page n -->`` comments; null texts are empty pages."""
+    rows = pages.select(key, F.col("page_number").cast("int").alias("n"), F.concat(F.lit("<!-- Page "), F.col("page_number").cast("string"), F.lit(" -->\n"), F.coalesce("text", F.lit(""))).alias("part"))
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n\n").alias("markdown"))
+
+
+def asset_rows(df: DataFrame, keys: list[str], tables: str, kind: str = "table", preview: int = 10) -> DataFrame:
+    """keys, kind, index_on_page (from 1), columns, row_count, preview (first rows) and caption (single blanks) of each element of an array of tables; null arrays have none."""
+    rows = df.select(*keys, F.posexplode(tables).alias("__i", "t"))
+    caption = F.trim(F.regexp_replace(F.coalesce("t.caption", F.lit("")), r"\s+", " "))
+    return rows.select(*keys, F.lit(kind).alias("kind"), (F.col("__i") + 1).alias("index_on_page"), F.col("t.columns").alias("columns"), F.size("t.rows").alias("row_count"), F.slice("t.rows", 1, preview).alias("preview"), caption.alias("caption"))

@@ -47,24 +47,59 @@ def latest_stage_status(updates: DataFrame) -> DataFrame:
 # Sinks
 
 
-def upsert_batches(spark: SparkSession, path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the newest row per key in a Parquet table, version by version.
+#: Parts into which an upserted table is divided by the digest of its keys.
+PARTS = 64
 
-    Every micro-batch writes ``path``/v=<batch id>; a batch that is delivered again overwrites
-    its own version, so the result is the same (idempotent).
+
+def upsert_batches(spark: SparkSession, path: str, keys: list[str], order: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the newest row per key (the last in ``order``, then all columns) in a Parquet table.
+
+    The table is divided by the digest of the keys; a batch reads and rewrites only the parts
+    it hits, as ``part=<n>/v=<batch>``, beside which the part's versions older than the one
+    it was made of are removed. A batch that is delivered again starts from the versions
+    before it, so the result is the same (idempotent). Gaps in batch numbers do no harm.
     """
-    from docquarry.operators.relational import latest
+    fs, folder = _files(spark, path)
+
+    def versions(part: int) -> list[int]:
+        place = folder(f"{path}/part={part}")
+        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(place) if fs.exists(folder(f"{s.getPath().toString()}/_SUCCESS"))) if fs.exists(place) else []
 
     def apply(batch: DataFrame, number: int) -> None:
-        before = f"{path}/v={number - 1}"
-        rows = batch.select("*")
-        if number > 0:
-            rows = spark.read.parquet(before).unionByName(rows, allowMissingColumns=True)
-        latest(rows, keys, order, keys[0]).write.mode("overwrite").parquet(f"{path}/v={number}")
+        marked = batch.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
+        try:
+            for (part,) in marked.select("__part").distinct().collect():  # at most ``parts``
+                rows = marked.where(F.col("__part") == part).drop("__part")
+                before = [v for v in versions(part) if v < number]
+                if before:
+                    rows = spark.read.parquet(f"{path}/part={part}/v={before[-1]}").unionByName(rows, allowMissingColumns=True)
+                rest = [c for c in rows.columns if c not in (*keys, order)]
+                newest = rows.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("__r")).select(*keys, "__r.*").select(*rows.columns)
+                newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/part={part}/v={number}")
+                for v in before[:-1]:
+                    fs.delete(folder(f"{path}/part={part}/v={v}"), True)
+        finally:
+            marked.unpersist()
 
     return apply
 
 
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    return folder(path).getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of every part of a table kept by :func:`upsert_batches`."""
+    fs, folder = _files(spark, path)
+    paths = []
+    for part in fs.listStatus(folder(path)):
+        done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(part.getPath()) if fs.exists(folder(f"{s.getPath().toString()}/_SUCCESS"))]
+        if done:
+            paths.append(f"{part.getPath().toString()}/v={max(done)}")
+    return spark.read.parquet(*paths)
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is available now and return what it wrote (of the last batch in complete mode)."""
     spark = stream.sparkSession
