@@ -408,6 +408,13 @@ def section_labels(ncd_text_chunk):
     return ncd_text_chunk.select("id", "section_label").distinct().select("id", X.section_label("section_label").alias("section"))
 
 
+@query()
+def study_ids_of_all_names(ncd_source_document):
+    """Identifiers of every file name in order; ``study_ids_of_names`` has them sorted, with SQL."""
+    rows = ncd_source_document.select("id", "file_name").distinct()
+    return rows.select("id", X.study_ids(F.replace("file_name", F.lit("_"), F.lit(" "))).alias("ids"))
+
+
 @query("""with t as (select doc_id, lower(coalesce(text, '')) as t from documents)
  select doc_id, list_filter([case when contains(t, 'liver') or contains(t, 'hepat') or contains(t, 'alt') or contains(t, 'ast') or contains(t, 'bilirubin') then 'hepatotoxicity' end,
   case when contains(t, 'kidney') or contains(t, 'renal') or contains(t, 'creatinine') then 'nephrotoxicity' end, case when contains(t, 'qt') or contains(t, 'ecg') or contains(t, 'herg') then 'qt_prolongation' end,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docquarry.functions import assembly as A
 from docquarry.functions import fuzzy as Z
 from docquarry.functions import inference as I
 from docquarry.functions import text as X
@@ -314,3 +315,82 @@ _HEADS = {name: kv for name, kv in M.HEADERS.items()}
 def header_tokens(region):
     heads = [(o.title() + " ",) for others in _HEADS.values() for o in others] + [("Doses (concentration)",), ("dose-concentration mg/ml",), ("Organ systems seen",), ("Species/Strain",), ("Study",)]
     return region.sparkSession.createDataFrame(heads, "header string").select("header", M.header_token(F.col("header")).alias("token"))
+
+
+# Lists, assembled texts, sections
+
+
+@query("""with f as (select distinct id, coalesce(finding_term, '') || ',' || coalesce(organ, '') || ', n/a ,,' || coalesce(severity, '') as t from ncd_finding), l as (select id, list_filter(list_transform(string_split(t, ','), lambda x: trim(x, ' ')), lambda x: x <> '') as l from f),
+ k as (select id, l, list_filter(l, lambda x: lower(x) not in ('n/a', 'none', 'null')) as k from l), d as (select id, l, list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i) as k from k),
+ p as (select id, l, k[1:5] as k, k[1:5] || ['nonclinical', 'module 4', 'ctd', 'data'] as e from d)
+ select id, l as items, k as keywords, case when len(k) >= 4 then k else (list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i))[1:4] end as padded from p""")
+def keyword_lists(ncd_finding):
+    t = F.concat(F.coalesce("finding_term", F.lit("")), F.lit(","), F.coalesce("organ", F.lit("")), F.lit(", n/a ,,"), F.coalesce("severity", F.lit("")))
+    f = ncd_finding.select("id", "finding_term", "organ", "severity").distinct().select("id", t.alias("t"))
+    more = F.array(*[F.lit(x) for x in ("nonclinical", "module 4", "ctd", "data")])
+    return f.select("id", A.listed("t").alias("items"), A.keywords(A.listed("t"), 5).alias("keywords"), A.padded_keywords(A.listed("t"), more, 4, 5).alias("padded"))
+
+
+@query("""with d as (select distinct id, file_name as n, project_id as p, ctd_section as s from ncd_source_document), w as (select id, n, p, s, list_filter(list_transform(string_split_regex(replace(coalesce(n, ''), '/', ' '), '\\s+'), lambda x: trim(x, ' ,.;:()[]{}')), lambda x: length(x) >= 3 and regexp_matches(x, '\\p{L}')) as ws from d)
+ select id, list_transform(ws[1:3], lambda x: lower(x)) as words, 'Document: ' || coalesce(n, '-') || coalesce(chr(10) || chr(10) || 'Project: ' || nullif(p, ''), '') || coalesce(chr(10) || chr(10) || 'Section: ' || nullif(s, ''), '') || chr(10) || chr(10) || 'Summary:' || chr(10) || 'one' || chr(10) || chr(10) || 'body' as text from w""")
+def embedding_texts(ncd_source_document):
+    d = ncd_source_document.select("id", "file_name", "project_id", "ctd_section").distinct()
+    text = A.embedding_text(F.coalesce("file_name", F.lit("-")), [("Project", F.col("project_id")), ("Section", F.col("ctd_section")), ("Module", F.lit(" "))], F.lit("one"), F.lit(" body \n"))
+    return d.select("id", A.title_words("file_name", 3).alias("words"), text.alias("text"))
+
+
+@query("""select n_nationkey, '## Key Topics' || chr(10) || '- [' || n_name || '](#t1)' || chr(10) || '- [absent](#t2)' || chr(10) || chr(10) as head, length('## Key Topics' || chr(10) || '- [' || n_name || '](#t1)' || chr(10) || '- [absent](#t2)' || chr(10) || chr(10) || 'On ' || upper(n_name) || '.') + 2 * length('<a id="t1"></a>') as n, length('## Key Topics' || chr(10) || '- [') + 1 as first_at from nation""")
+def anchored_topics(nation):
+    topics = F.array(F.struct(F.col("n_name").alias("title"), F.lit("t1").alias("anchor")), F.struct(F.lit("absent").alias("title"), F.lit("t2").alias("anchor")))
+    text = A.with_anchors(F.concat(F.lit("On "), F.upper("n_name"), F.lit(".")), topics)
+    bare = F.regexp_replace(text, '<a id="t[12]"></a>', "")
+    head = F.concat(F.regexp_extract(bare, r"(?s)^(.*?\n\n)", 1))
+    return nation.select("n_nationkey", head.alias("head"), F.length(text).cast("bigint").alias("n"), F.instr(text, '<a id="t1">').alias("first_at"))
+
+
+@query("""select s_suppkey, case s_suppkey % 4 when 0 then 'a, ' || s_name when 1 then s_name when 2 then 'v' || s_nationkey else trim(s_name) end as text, 'k' || s_nationkey as required from supplier""")
+def coerced_fields(supplier):
+    k, n = F.col("s_suppkey") % 4, F.col("s_name")
+    j = F.when(k == 0, F.to_json(F.array(F.lit(" a"), F.lit(""), n))).when(k == 1, F.to_json(F.struct(n.alias("text")))).when(k == 2, F.to_json(F.struct(F.concat(F.lit("v"), F.col("s_nationkey").cast("string")).alias("value"), n.alias("text")))).otherwise(F.concat(F.lit(" "), n, F.lit(" ")))
+    entry = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("x"))).alias("required_content"), F.struct(F.array(F.concat(F.lit("k"), F.col("s_nationkey").cast("string")), F.lit("12")).alias("deep_key")).alias("validation_rules")))
+    got = A.with_required_fields(supplier.select("s_suppkey", A.coerced(j).alias("text"), entry.alias("e")), "e")
+    return got.select("s_suppkey", "text", F.get("required", F.lit(1)).alias("required"))
+
+
+@query("""with d as (select doc_id, text as t, length(text) as n from documents where text is not null), c as (select doc_id, t, n, greatest(600, cast(floor(n * 0.6) as integer)) as target from d), m as (select *, chr(10) || chr(10) || '[TRUNCATED FOR CONTEXT LIMIT: ' || (n - target) || ' trailing characters omitted.]' as note from c)
+ select doc_id, case when target < n then regexp_replace(left(t, greatest(0, target - length(note))), '\\s+$', '') || note end as cut, case when n <= 4000 then nullif(trim(t, ' '), '') end as prompt from m""")
+def cut_prompts(documents):
+    d = documents.where("text is not null")
+    return d.select("doc_id", A.cut_prompt("text", 1).alias("cut"), F.when(F.length("text") <= 4000, X.blank_to_null("text")).alias("prompt"))
+
+
+@query("""with c as (select distinct id, raw_text as t, offset_start as a, offset_end as b from ncd_text_chunk where raw_text is not null), m as (select *, regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)+') as ns from c)
+ select id, list_sort(list_transform(ns, lambda x: {'a': -len(string_split(x, '.')), 'b': -length(x), 'c': list_position(ns, x), 'x': x}))[1].x as specific, coalesce(b > a, false) as given, coalesce(nullif(strpos(t, 'animals'), 0), strpos(lower(t), 'animals')) - 1 as at from m""")
+def most_specific_numbers(ncd_text_chunk):
+    c = ncd_text_chunk.where("raw_text is not null").select("id", "raw_text", "offset_start", "offset_end").distinct()
+    numbers = F.regexp_extract_all("raw_text", F.lit(r"[0-9]+(?:\.[0-9]+)+"), F.lit(0))
+    spans = A.accepted_spans(F.array(F.struct(F.col("offset_start").alias("start"), F.col("offset_end").alias("end"))), F.array().cast("array<struct<start:int,end:int>>"))
+    return c.select("id", A.most_specific(numbers).alias("specific"), (F.size(spans) > 0).alias("given"), F.coalesce(X.excerpt_offset(F.col("raw_text"), F.lit("animals")), F.lit(-1)).alias("at"))
+
+
+@query("""select n_nationkey, case n_nationkey % 3 when 0 then '2.6.' || n_regionkey when 1 then '2.6' else '3.' || n_regionkey end as target, '2.' || n_regionkey || '-' || lower(n_name) as element, list_sort(list_distinct(['4.2', '4.' || n_regionkey || '.1'])) as sections from nation""")
+def resolved_targets(nation):
+    r, k = F.col("n_regionkey").cast("string"), F.col("n_nationkey") % 3
+    s = F.when(k == 0, F.concat(F.lit("2.4."), r)).when(k == 1, F.lit(" ")).otherwise(F.concat(F.lit("3."), r))
+    text = F.concat(F.lit("see 4.2 and 4."), r, F.lit(".1 or 14.2"))
+    return nation.select("n_nationkey", X.resolve_target(s).alias("target"), X.element_number(F.concat(F.lit(" 2."), r, F.lit("  "), F.col("n_name"))).alias("element"), F.array_sort(F.array_distinct(X.section_numbers(text))).alias("sections"))
+
+
+@query("""with c as (select distinct id, lower(id) as u, raw_text as t from ncd_text_chunk) select id, u as uuid, substr(coalesce(t, ''), 11, 20) as slice, coalesce(contains(lower(t), 'dose'), false) as says from c""")
+def slices_and_uuids(ncd_text_chunk):
+    c = ncd_text_chunk.select("id", "raw_text").distinct()
+    return c.select("id", X.uuid_or_null(F.concat(F.lit(" "), F.upper("id"), F.lit("\n"))).alias("uuid"), X.text_slice(F.coalesce("raw_text", F.lit("")), F.lit(10), F.lit(30)).alias("slice"), F.coalesce(X.excerpt_offset("raw_text", F.lit("DOSE")).isNotNull(), F.lit(False)).alias("says"))
+
+
+@query("""with p as (select id, generate_subscripts(string_split(raw_text, chr(10)), 1) as i, trim(regexp_replace(unnest(string_split(raw_text, chr(10))), '\\s+', ' ', 'g'), ' ') as x from (select distinct id, regexp_replace(regexp_replace(raw_text, '[\\r\\n]', ' ', 'g'), '([.;])\\s+', '\\1' || chr(10), 'g') as raw_text from ncd_text_chunk where raw_text is not null)),
+ w as (select *, case when regexp_matches(x, '(?i)\\bp\\s*[<=>]') then 4 else 0 end + case when regexp_matches(x, '[0-9]\\s*%') then 3 else 0 end + case when regexp_matches(x, '(?i)mg/kg') then 2 else 0 end + case when regexp_matches(x, '(?i)\\b(cmax|auc)') then 2 else 0 end + case when regexp_matches(x, '(?i)\\bq[0-9]+d\\b') then 1 else 0 end as w from p where x <> ''),
+ d as (select * from w where w > 0 qualify row_number() over (partition by id, lower(x) order by i) = 1), r as (select *, row_number() over (partition by id order by w desc, length(x) desc, x) as r from d) select id, list(x order by r) as evidence from r where r <= 3 group by 1""")
+def numeric_evidence(ncd_text_chunk):
+    c = ncd_text_chunk.where("raw_text is not null").select("id", "raw_text").distinct()
+    got = c.select("id", X.numeric_evidence("raw_text").alias("evidence"))
+    return got.where("size(evidence) > 0")
