@@ -17,7 +17,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -48,7 +51,17 @@ _WORD = re.compile(r"[^\W_]+(?:\|[^\W_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:[|'’][^\W_]+)*(?:-[^\W_]+)*")
 #: Dividing marks at a line end: those that may belong to a word, and those that never do.
 _HARD, _SOFT = "-‐‑–", "¬\xad"
+_MARKS = frozenset(_HARD + _SOFT)
 _END = re.compile(rf"([^\W\d_]+)([{_HARD}{_SOFT}])\s*$")
+_COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)+")
+
+
+def divided_end(line: str) -> re.Match | None:
+    """The match of a dividing mark at the end of a line."""
+    bare = line.rstrip()
+    return _END.search(line, max(0, len(bare) - 60)) if bare[-1:] in _MARKS else None
+
+
 _CODE = re.compile(r"\b[A-Z0-9]{2}[0-9OoIlSsZzBbg]{2}-[0-9OoIlSsZzBbg]{7}\b|\b[A-Z]{1,4}-[0-9OoIlSsZzBbg]{2,5}\b")
 #: Letters that recognition puts for digits.
 _AS_DIGIT = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "i": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "B": "8", "b": "6", "G": "6", "g": "9", "q": "9"})
@@ -111,117 +124,151 @@ def edges(lines: list[str]) -> list[tuple[int, bool]]:
 
 
 def running_words(lines: list[str]) -> Iterator[list[str]]:
-    """Lower-case words of each line without those divided at line ends or cut by the page; numbers as "#"."""
+    """Words of each line without those divided at line ends or cut by the page, as they stand."""
     skip_first = True
-    for i, line in enumerate(lines):
-        if not line.strip():
-            continue
+    full = [x for x in lines if x.strip()]
+    for i, line in enumerate(full):
         words = _WORD.findall(line)
-        divided = _END.search(line) is not None
-        kept = words[1 if skip_first else 0 : len(words) - 1 if divided or not any(x.strip() for x in lines[i + 1 :]) else len(words)]
+        divided = divided_end(line) is not None
+        yield words[1 if skip_first else 0 : len(words) - 1 if divided or i == len(full) - 1 else len(words)]
         skip_first = divided
-        yield ["#" if w.isdigit() else w.lower() for w in kept]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (by page), compounds, pairs of words, and looks of lines at edges and elsewhere."""
-    counts: Counter = Counter()
+#: Stands between lines, so that no pair of words reaches over them.
+_BREAK = "\n"
 
-    def flush() -> pa.RecordBatch:
-        kinds, keys, numbers = zip(*((k[0], k[1], n) for k, n in counts.items()), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(numbers, pa.int64())], names=["kind", "key", "n"])
 
+class Coded:
+    """Words as numbers: ``ids`` of a flat list of words in the order given, and the distinct words in lower case ("#" for numbers)."""
+
+    def __init__(self, flat: list[str]):
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        low = pa.array(["#" if w.isdigit() else w.lower() for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        self.words = low.dictionary
+        self.ids = low.indices.to_numpy()[coded.indices.to_numpy()].astype(np.int64)
+
+    def pairs(self) -> tuple[pa.Array, np.ndarray]:
+        """Pairs of words next to each other in a line, and their counts."""
+        n, a, b = len(self.words), self.ids[:-1], self.ids[1:]
+        stop = pc.index(self.words, _BREAK).as_py()
+        inside = (a != stop) & (b != stop)
+        keys, counts = np.unique(a[inside] * n + b[inside], return_counts=True)
+        return pc.binary_join_element_wise(self.words.take(pa.array(keys // n)), self.words.take(pa.array(keys % n)), " "), counts
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (by page), compounds, pairs of words, and looks of lines at edges and elsewhere, for each batch."""
     for batch in batches:
+        flat, sizes, rest = [], [], Counter()
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            lines = lines_of(text)
-            seen: set[str] = set()
+            lines, before = lines_of(text), len(flat)
             for words in running_words(lines):
-                counts["t", "words"] += len(words)
-                seen.update(w for w in words if len(w) <= 40)
-                for a, b in zip(words, words[1:], strict=False):
-                    counts["b", f"{a} {b}"] += 1
-            for w in seen:
-                counts["w", w] += 1
-            for m in re.finditer(r"[^\W_]+(?:-[^\W_]+)+", text):
-                parts = m[0].lower().split("-")
-                for a, b in zip(parts, parts[1:], strict=False):
-                    counts["h", f"{a}-{b}"] += 1
-                    counts["p", a] += 1
+                flat += words
+                flat.append(_BREAK)
+            sizes.append(len(flat) - before)
+            for line in filter(lambda x: "-" in x, lines):
+                for m in _COMPOUND.findall(line):
+                    parts = m.lower().split("-")
+                    for a, b in zip(parts, parts[1:], strict=False):
+                        rest["h", f"{a}-{b}"] += 1
+                        rest["p", a] += 1
             if has_layout(lines):
                 at = {i for i, _ in edges(lines)}
                 for i, line in enumerate(lines):
                     if line.strip() and len(line) <= 80 and len(line.split()) <= HEADER_WORDS:
                         s = skeleton(line)
                         for form in {s, "* " + s.partition(" ")[2]}:
-                            counts["e" if i in at else "y", form] += 1
-            if len(counts) > 200_000:
-                yield flush()
-                counts.clear()
-    if counts:
-        yield flush()
+                            rest["e" if i in at else "y", form] += 1
+        if not flat:
+            continue
+        coded = Coded(flat)
+        n = len(coded.words)
+        by_page = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.ids) % n
+        pages = np.bincount(by_page, minlength=n)
+        held = np.flatnonzero((pages > 0) & pc.and_(pc.less_equal(pc.utf8_length(coded.words), 40), pc.not_equal(coded.words, _BREAK)).to_numpy(zero_copy_only=False))
+        pairs, counts = coded.pairs()
+        kinds = pa.array(["w"] * len(held) + ["b"] * len(pairs) + [k[0] for k in rest], pa.string())
+        keys = pa.concat_arrays([coded.words.take(pa.array(held)), pairs, pa.array([k[1] for k in rest], pa.string())])
+        numbers = pa.array(np.concatenate([pages[held], counts, np.fromiter(rest.values(), np.int64, len(rest))]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([kinds, keys, numbers], names=["kind", "key", "n"])
 
 
-class Trie:
-    """Words in a trie; ``within`` intersects it with the Levenshtein automaton of a word, ``near`` with one that knows confusions."""
+def _alike(c: str) -> int:
+    """Code of what a character looks like."""
+    return ord(c.translate(_AS_LETTER).translate(_LIKE))
 
-    def __init__(self, words: Iterator[str]):
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
 
-    def near(self, word: str, edits: int) -> list[tuple[int, str]]:
-        """Cost and entry within ``edits`` edits and any confusions of recognition (fewer than EDIT).
+class Trie:
+    """Words in a trie, held as arrays; ``near`` intersects it with the Levenshtein automata of many words at once.
 
-        The automaton's state is the row of costs with that before it, as a group of two
-        letters may stand for one on either side.
-        """
-        w = word.translate(_AS_LETTER)
-        like = w.translate(_LIKE)
-        groups = [None, None, *(_GROUP_LOOKS.get(w[j - 2 : j]) for j in range(2, len(w) + 1))]
-        most = EDIT * edits + EDIT - 1
-        found, open_ = [], [(self.root, [EDIT * j for j in range(len(w) + 1)], None, "")]
-        while open_:
-            node, row, last, before = open_.pop()
-            if "" in node and row[-1] <= most:
-                found.append((row[-1], node[""]))
-            for c, child in node.items():
-                if c == "":
-                    continue
-                alike, group = c.translate(_AS_LETTER).translate(_LIKE), _GROUP_LOOKS.get(before + c) if last else None
-                new = [row[0] + EDIT]
-                for j, x in enumerate(word, 1):
-                    cost = row[j - 1] + (0 if c == x else 1 if alike == like[j - 1] else EDIT)
-                    cost = min(cost, row[j] + EDIT, new[j - 1] + EDIT)
-                    if groups[j] == alike:
-                        cost = min(cost, row[j - 2] + 1)
-                    if group == like[j - 1]:
-                        cost = min(cost, last[j - 1] + 1)
-                    new.append(cost)
-                if min(new) <= most or (c in _OPENING and min(row) < most):
-                    open_.append((child, new, row, c))
-        return found
+    The automaton knows confusions: its state is the row of costs with that before it, as a
+    group of two letters may stand for one on either side. Words of one length step through
+    the trie together, level by level; a branch is left where its row can't come back
+    within the bound, so every entry within it is met.
+    """
 
-    def within(self, word: str, radius: int) -> list[tuple[int, str]]:
-        """Every entry within ``radius`` edits: the automaton's state is the row of distances, dead where all exceed the radius."""
-        found, open_ = [], [(self.root, list(range(len(word) + 1)))]
-        while open_:
-            node, row = open_.pop()
-            if "" in node and row[-1] <= radius:
-                found.append((row[-1], node[""]))
-            for c, child in node.items():
-                if c == "":
-                    continue
-                new = [row[0] + 1]
-                for j, d in enumerate(word, 1):
-                    new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
-                if min(new) <= radius:
-                    open_.append((child, new))
-        return found
+    def __init__(self, words: Iterator[str]):
+        self.words = sorted(set(words))
+        chars, parents, entry, path, before = [""], [0], [-1], [0], ""
+        for n, w in enumerate(self.words):
+            common = next((i for i, (a, b) in enumerate(zip(w, before, strict=False)) if a != b), min(len(w), len(before)))
+            del path[common + 1 :]
+            for c in w[common:]:
+                chars.append(c), parents.append(path[-1]), entry.append(-1)
+                path.append(len(chars) - 1)
+            entry[path[-1]], before = n, w
+        parent = np.array(parents[1:], np.int64)
+        order = np.argsort(parent, kind="stable")  # children of a node side by side
+        self.child = order + 1
+        self.first = np.searchsorted(parent[order], np.arange(len(chars)))
+        self.count = np.bincount(parent, minlength=len(chars)) if len(parent) else np.zeros(len(chars), np.int64)
+        self.entry = np.array(entry, np.int64)
+        self.code = np.array([ord(c) if c else 0 for c in chars], np.int32)
+        self.like = np.array([_alike(c) if c else 0 for c in chars], np.int32)
+        self.opens = np.array([c in _OPENING for c in chars], bool)
+        self.group = np.array([-1] + [ord(g) if parents[i] and (g := _GROUP_LOOKS.get(chars[parents[i]] + chars[i])) else -1 for i in range(1, len(chars))], np.int32)
+
+    def near(self, words: list[str], edits: int, at_once: int = 512) -> Iterator[tuple[int, str, str]]:
+        """Cost, word and entry within ``edits`` edits and any confusions of recognition (fewer than EDIT) of each word."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for length, own in by_length.items():
+            for at in range(0, len(own), at_once):
+                yield from self._step(own[at : at + at_once], length, edits)
+
+    def _step(self, words: list[str], length: int, edits: int) -> Iterator[tuple[int, str, str]]:
+        most, far = EDIT * edits + EDIT - 1, np.int16(16_000)
+        plain = [w.translate(_AS_LETTER) for w in words]
+        code = np.array([[ord(c) for c in w] for w in words], np.int32).T
+        like = np.array([[ord(c) for c in w.translate(_LIKE)] for w in plain], np.int32).T
+        group = np.array([[-1, -1, *(ord(_GROUP_LOOKS[w[j - 2 : j]]) if w[j - 2 : j] in _GROUP_LOOKS else -1 for j in range(2, length + 1))] for w in plain], np.int32).T
+        q, node = np.arange(len(words)), np.zeros(len(words), np.int64)
+        row = np.repeat((EDIT * np.arange(length + 1, dtype=np.int16))[:, None], len(words), axis=1)
+        last = np.full_like(row, far)
+        while len(q):
+            times = self.count[node]
+            rep = np.repeat(np.arange(len(q)), times)
+            step = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
+            child = self.child[self.first[node][rep] + step] if len(rep) else np.zeros(0, np.int64)
+            q, old, older = q[rep], row[:, rep], last[:, rep]
+            c, alike, own_group = self.code[child], self.like[child], self.group[child]
+            new = np.empty_like(old)
+            new[0] = old[0] + EDIT
+            for j in range(1, length + 1):
+                looks = like[j - 1][q]
+                cost = old[j - 1] + np.where(code[j - 1][q] == c, 0, np.where(looks == alike, 1, EDIT)).astype(np.int16)
+                cost = np.minimum(np.minimum(cost, old[j] + EDIT), new[j - 1] + EDIT)
+                if j > 1:
+                    cost = np.where(group[j][q] == alike, np.minimum(cost, old[j - 2] + 1), cost)
+                new[j] = np.where(own_group == looks, np.minimum(cost, older[j - 1] + 1), cost)
+            ends = np.flatnonzero((self.entry[child] >= 0) & (new[length] <= most))
+            for cost, i, e in zip(new[length][ends].tolist(), q[ends].tolist(), self.entry[child[ends]].tolist(), strict=True):
+                yield cost, words[i], self.words[e]
+            keep = np.flatnonzero((new.min(axis=0) <= most) | (self.opens[child] & (old.min(axis=0) < most)))
+            q, node, row, last = q[keep], child[keep], new[:, keep], old[:, keep]
 
 
 @dataclass
@@ -262,6 +309,7 @@ class Vocabulary:
     first_parts: dict[str, int]
     pages: int
     near: dict[str, list[tuple[int, str, int]]]
+    plain: dict[str, bool] = field(default_factory=dict)
 
     def count(self, word: str) -> int:
         return self.words.get(word, 0)
@@ -281,22 +329,47 @@ class Vocabulary:
         ``part``: it may be a part of a word, for which only look-alikes are considered.
         """
         w = word.lower()
-        least = ratio(w) * max(self.count(w) - 1, 0.5)  # its count elsewhere
-        likely = [(cost, m, n) for cost, m, n in self.candidates(w) if n >= least and not (part and cost >= EDIT)]
+        likely = [(cost, m, n) for cost, m, n in likely_mates(w, self.count(w), self.candidates(w)) if not (part and cost >= EDIT)]
         if not likely or not any(c.isalpha() for c in w):
             return None
         score = lambda cost, m, n: math.log2(n) + math.log2(1 + self.fits(before, m, after)) - 2 * (cost % EDIT) - 8 * (cost // EDIT)
         return max((score(cost, m, n), m) for cost, m, n in likely)[1]
 
     def by_context(self, before: str | None, word: str, after: str | None) -> str | None:
-        """A look-alike of a word in use that fits between its neighbours where the word itself never stands."""
+        """A look-alike in use of a word in use, which fits between its neighbours where the word itself never stands."""
         w = word.lower()
-        mates = [m for cost, m, _ in self.candidates(w) if cost < EDIT]
+        mates = mates_in_use(self.count(w), self.candidates(w))
         if not mates:
             return None
         own, (best, mate) = self.fits(before, w, after), max((self.fits(before, m, after), m) for m in mates)
         return mate if best >= 20 and best >= RATIO * max(own, 0.5) else None
 
+    def is_plain(self, token: str) -> bool:
+        """Whether nothing can be found of a token whatever stands beside it (codes apart)."""
+        known = self.plain.get(token)
+        if known is None:
+            w = token.lower()
+            near = self.candidates(w)
+            known = token.isdigit() or not (_MIXED.match(token) or (len(token) == 1 and token in _LETTERS) or (near and (likely_mates(w, self.count(w), near) or mates_in_use(self.count(w), near))) or _digit_inside(token, self))
+            self.plain[token] = known
+        return known
+
+
+def likely_mates(w: str, own: int, near: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The candidates so frequent that ``w`` is taken for a misreading (``own``: its pages)."""
+    least = ratio(w) * max(own - 1, 0.5)  # its count elsewhere
+    return [(cost, m, n) for cost, m, n in near if n >= least]
+
+
+def mates_in_use(own: int, near: list[tuple[int, str, int]]) -> list[str]:
+    """Look-alikes that are no misreadings of the word themselves."""
+    return [m for cost, m, n in near if cost < EDIT and own < ratio(m) * max(n - 1, 0.5)]
+
+
+def wants_context(w: str, own: int, near: list[tuple[int, str, int]]) -> bool:
+    """Whether the neighbours decide what ``w`` stands for."""
+    return len(likely_mates(w, own, near)) > 1 or bool(mates_in_use(own, near))
+
 
 def edits_of(w: str) -> int:
     """Edits besides confusions: short words are an edit from other words."""
@@ -384,7 +457,7 @@ _MATES = "array<struct<cost:int,word:string,n:bigint>>"
 
 
 def with_candidates(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """key, n, mates: the words ``wanted`` (key) with their true counts and candidates in ``vocabulary`` (key, n).
+    """key, n, mates, contextual: the words ``wanted`` (key) with their true counts, candidates in ``vocabulary`` (key, n), and whether neighbours decide between these.
 
     Slices of the words meet parts of the vocabulary, so no task holds more than about
     TRIE_WORDS words, whatever the corpus.
@@ -398,16 +471,20 @@ def with_candidates(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     def look_up(words: pa.Table, entries: pa.Table) -> pa.Table:
         counts = dict(zip(entries["key"].to_pylist(), entries["n"].to_pylist(), strict=True))
+        own = {w: n for w, n in zip(words["key"].to_pylist(), words["n"].to_pylist(), strict=True) if len(w) > 1}
         trie, rows = Trie(iter(counts)), []
-        for w, n in zip(words["key"].to_pylist(), words["n"].to_pylist(), strict=True):
-            if len(w) > 1:
-                rows += [(w, cost, m, k) for cost, m, k in possible(w, n, ((cost, m, counts[m]) for cost, m in trie.near(w, edits_of(w))))]
+        for edits in (0, 1):
+            for cost, w, m in trie.near([w for w in own if edits_of(w) == edits], edits):
+                rows += [(w, *mate) for mate in possible(w, own[w], [(cost, m, counts[m])])]
         types = (pa.string(), pa.int32(), pa.string(), pa.int64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)], names=["key", "cost", "word", "k"])
 
     met = left.groupBy("slice", "part").cogroup(right.groupBy("slice", "part")).applyInArrow(look_up, "key string, cost int, word string, k bigint")
     mates = met.groupBy("key").agg(F.collect_list(F.struct("cost", "word", F.col("k").alias("n"))).alias("mates"))
-    return own.join(mates, "key", "left")
+    least = lambda w, n: F.when(F.length(w) <= 3, RATIO).when(F.length(w) <= 6, RATIO // 2).otherwise(RATIO // 8) * F.greatest(n - 1, F.lit(0.5))
+    likely = F.size(F.filter("mates", lambda m: m["n"] >= least(F.col("key"), F.col("n")))) > 1
+    in_use = F.exists("mates", lambda m: (m["cost"] < EDIT) & (F.col("n") < least(m["word"], m["n"])))
+    return own.join(mates, "key", "left").withColumn("contextual", F.coalesce(likely | in_use, F.lit(False)))
 
 
 @dataclass
@@ -524,24 +601,68 @@ def _tail(after: str | None) -> str | None:
     return following[0] if following and not after[: following.start()].strip() else None
 
 
-def needed(text: str | None, layout: bool, furniture: list[int]) -> set[tuple[str, str]]:
-    """Kind and key of all counts that :func:`read_page` may ask for, but for pairs with candidates."""
-    lines, keys = lines_of(text) if text else [], set()
-    body = _body(lines, furniture)
+def needed(text: str | None, layout: bool, furniture: list[int]) -> tuple[set[str], set[tuple[str, str]]]:
+    """Words, and kind and key of the other counts, that :func:`read_page` may ask for, but for pairs."""
+    lines = lines_of(text) if text else []
+    body, words, keys = _body(lines, furniture), set(), set()
     for k, i in enumerate(body):
-        words = _WORD.findall(lines[i])
-        low = [_lower(w) for w in words]
-        keys.update(("w", w) for w in low)
-        keys.update(("b", f"{a} {b}") for a, b in zip(low, low[1:], strict=False))
-        keys.update(("b", f"{a} #") for a, b in zip(low, words[1:], strict=False) if b in _LETTERS)
-        if layout and (m := _END.search(lines[i])):
+        own = _WORD.findall(lines[i])
+        words.update(own)
+        if layout and (m := divided_end(lines[i])):
             a, after = m[1].lower(), lines[body[k + 1]] if k + 1 < len(body) else None
-            keys |= {("w", a), ("p", a)}
+            words.add(a), keys.add(("p", a))
             if tail := _tail(after):
                 b = tail.lower()
-                keys |= {("w", b), ("w", a + b), ("h", f"{a}-{b}")}
-            if words and after and (first := _WORD.search(after)):
-                keys.add(("w", (words[-1] + first[0]).lower()))
+                words |= {b, a + b}
+                keys.add(("h", f"{a}-{b}"))
+            if own and after and (first := _WORD.search(after)):
+                words.add((own[-1] + first[0]).lower())
+    return words, keys
+
+
+class Sieve:
+    """A Bloom filter of fixed size over words: it may let others through, but loses none."""
+
+    BITS = 1 << 24
+
+    def __init__(self, cells: dict[int, int]):
+        self.cells = np.zeros(self.BITS // 32, np.int64)
+        if cells:
+            self.cells[np.fromiter(cells, np.int64, len(cells))] = np.fromiter(cells.values(), np.int64, len(cells))
+        self.known: dict[str, bool] = {}
+
+    @classmethod
+    def of(cls, words: DataFrame) -> Sieve:
+        """The filter of the column ``key``; it is made of at most BITS / 32 cells, however many words there are."""
+        h = F.xxhash64("key")
+        places = F.explode(F.array(F.pmod(h, F.lit(cls.BITS)), F.pmod(F.shiftright(h, 30), F.lit(cls.BITS))))
+        cells = words.select(places.alias("p")).groupBy(F.shiftright("p", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(p, 32)))")).alias("bits")).toArrow()
+        return cls(dict(zip(cells["cell"].to_pylist(), cells["bits"].to_pylist(), strict=True)))
+
+    def __contains__(self, word: str) -> bool:
+        found = self.known.get(word)
+        if found is None:
+            h = xxhash.xxh64_intdigest(word.encode(), 42)
+            h -= (h >> 63) << 64  # as the engine's signed hash
+            found = all(self.cells[p >> 5] >> (p & 31) & 1 for p in (h % self.BITS, (h >> 30) % self.BITS))
+            self.known[word] = found
+        return found
+
+
+def needed_pairs(text: str | None, furniture: list[int], contextual: Sieve) -> set[str]:
+    """The pairs of words beside each other that :func:`read_page` may ask for: those of words for which neighbours matter."""
+    lines, keys = lines_of(text) if text else [], set()
+    for i in _body(lines, furniture):
+        words = _WORD.findall(lines[i])
+        low = [_lower(w) for w in words]
+        for n, w in enumerate(low):
+            if w != "#" and w in contextual:
+                if n:
+                    keys.add(f"{low[n - 1]} {w}")
+                if n + 1 < len(low):
+                    keys.add(f"{w} {low[n + 1]}")
+            if n and words[n] in _LETTERS:
+                keys |= {f"{low[n - 1]} #", f"{low[n - 1]} {w}"}
     return keys
 
 
@@ -556,9 +677,11 @@ def read_page(text: str | None, layout: bool, furniture: list[int], v: Vocabular
     carried: tuple[int, str] | None = None  # line and first part of a divided word
     for k, i in enumerate(body):
         line = out[i]
-        spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(line.text)]
         after = out[body[k + 1]].text if k + 1 < len(body) else None
-        if layout and (m := _END.search(line.text)):
+        if carried is None and line.text.rstrip()[-1:] not in _MARKS and not ("-" in line.text and _CODE.search(line.text)) and all(map(v.is_plain, _WORD.findall(line.text))):
+            continue
+        spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(line.text)]
+        if layout and (m := divided_end(line.text)):
             line.divided = _is_divided(m[1], m[2], _tail(after), v)
         first = 0
         if carried is not None:
@@ -581,7 +704,7 @@ def read_page(text: str | None, layout: bool, furniture: list[int], v: Vocabular
         inner = spans[first : len(spans) - 1 if line.divided else len(spans)]
         codes = [m.span() for m in _CODE.finditer(line.text)] if "-" in line.text else []
         for n, (a, b, token) in enumerate(inner):
-            if token.isdigit():
+            if token.isdigit() or (not codes and v.is_plain(token)):
                 continue
             inside = next((c for c in codes if c[0] <= a and b <= c[1]), None)
             if inside:  # of a code only the digits can be judged
@@ -637,17 +760,30 @@ def _read(pages: DataFrame, schema: str, emit) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = {(block, *key) for block, t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) for key in needed(t, y, f)}
+            keys = set()
+            for block, t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, other = needed(t, y, f)
+                keys.update((block, "w", _lower(w)) for w in words)
+                keys.update((block, *key) for key in other)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))], names=["block", "kind", "key"])
 
     asked = stored(marked.select("block", "text", "layout", "furniture").mapInArrow(ask, "block int, kind string, key string").distinct(), "asked")
     words = stored(with_candidates(asked.where("kind = 'w'").select("key").distinct(), counts.where("kind = 'w'").select("key", "n")), "words")
-    # pairs of candidates with the neighbours of the words they may stand for
-    pairs = asked.where("kind = 'b'").select("block", F.substring_index("key", " ", 1).alias("a"), F.substring_index("key", " ", -1).alias("b"))
-    mates = words.where("mates is not null").select("key", F.explode("mates.word").alias("mate"))
+    # pairs are asked for where neighbours decide: those of the words, and of the candidates in their place
+    contextual = pages.sparkSession.sparkContext.broadcast(Sieve.of(words.where("contextual").select("key")))  # of fixed size
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = contextual.value
+        for batch in batches:
+            keys = {(block, key) for block, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) for key in needed_pairs(t, f, sieve)}
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.string()))], names=["block", "key"])
+
+    asked_pairs = stored(marked.select("block", "text", "furniture").mapInArrow(ask_pairs, "block int, key string").distinct(), "pairs")
+    pairs = asked_pairs.select("block", F.substring_index("key", " ", 1).alias("a"), F.substring_index("key", " ", -1).alias("b"))
+    mates = words.where("contextual").select("key", F.explode("mates.word").alias("mate"))
     behind = pairs.join(mates, F.col("b") == F.col("key")).select("block", F.concat_ws(" ", "a", "mate").alias("key"))
     before = pairs.join(mates, F.col("a") == F.col("key")).select("block", F.concat_ws(" ", "mate", "b").alias("key"))
-    every = asked.where("kind <> 'w'").unionByName(behind.unionByName(before).select("block", F.lit("b").alias("kind"), "key")).distinct()
+    every = asked.where("kind <> 'w'").unionByName(asked_pairs.unionByName(behind).unionByName(before).select("block", F.lit("b").alias("kind"), "key")).distinct()
     facts = every.join(counts, ["kind", "key"]).select("block", "kind", "key", "n", F.lit(None).cast(_MATES).alias("mates"))
     facts = facts.unionByName(asked.where("kind = 'w'").join(words, "key").select("block", "kind", "key", "n", "mates"))
 

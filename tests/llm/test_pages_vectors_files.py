@@ -24,7 +24,8 @@ def test_trie_meets_every_candidate(words, word, radius):
             row = new
         return row[-1]
 
-    assert sorted(P.Trie(words).within(word, radius)) == sorted((distance(word, w), w) for w in set(words) if distance(word, w) <= radius)
+    met = P.Trie(words).near(list({word, word[::-1]}), radius)  # no two of these letters look alike
+    assert sorted((cost / P.EDIT, w) for cost, of, w in met if of == word) == sorted((distance(word, w), w) for w in set(words) if distance(word, w) <= radius)
 
 
 def test_looks():
@@ -36,7 +37,7 @@ def test_looks():
 
 def vocabulary(words, pairs=None):
     trie, asked = P.Trie(iter(words)), {*words, "teor"}
-    near = {w: P.possible(w, words.get(w, 0), ((cost, m, words[m]) for cost, m in trie.near(w, P.edits_of(w)))) for w in asked}
+    near = {w: P.possible(w, words.get(w, 0), ((cost, m, words[m]) for cost, _, m in trie.near([w], P.edits_of(w)))) for w in asked}
     return P.Vocabulary(words, pairs or {}, {}, {}, max(words.values()), near)
 
 
@@ -63,7 +64,7 @@ def test_candidates_are_ranked_by_neighbours():
 @given(st.lists(st.text("clidrnmu1", min_size=1, max_size=5), min_size=1, max_size=20), st.text("clidrnmu1", min_size=1, max_size=5))
 def test_automaton_meets_look_alikes(words, word):
     simple = [x for x in words if len(P.looks_of(x)) == 1]
-    near = {m for cost, m in P.Trie(simple).near(word, 0) if cost < P.EDIT}
+    near = {m for cost, _, m in P.Trie(simple).near([word], 0) if cost < P.EDIT}
     plain = lambda x: x.translate(P._AS_LETTER).translate(P._LIKE)
     assert near >= {x for x in simple if plain(x) == plain(word)}
 
@@ -129,6 +130,22 @@ def test_counts_have_no_floor(spark, monkeypatch):
         assert got == {"moricept": (2, []), "rnoricept": (0, ["moricept"]), "gr0up": (0, ["group"]), "absent": (0, [])}
 
 
+def test_sieve_loses_no_word(spark):
+    words = [f"wört{i}" for i in range(3000)]
+    sieve = P.Sieve.of(spark.createDataFrame([(w,) for w in words], "key string"))
+    assert all(w in sieve for w in words) and sum(f"other{i}" in sieve for i in range(3000)) < 30
+    assert "x" not in P.Sieve.of(spark.createDataFrame([], "key string"))
+
+
+def test_plain_lines_are_those_without_findings():
+    v = vocabulary({"below": 60, "bclow": 1, "dose": 90, "nose": 40, "close": 50, "the": 500})
+    for line in ("the below dose", "the bclow 12", "l2 the", "x O the", "the AB1Z-0000001", "clo5e the", "the clo", ""):
+        found = P.read_page(line, False, [], v)
+        whole = P.Vocabulary(v.words, v.pairs, {}, {}, v.pages, v.near)
+        whole.is_plain = lambda token: token.isdigit()  # every token is looked at
+        assert [(x.garbled, x.fixes) for x in found] == [(x.garbled, x.fixes) for x in P.read_page(line, False, [], whole)]
+
+
 def test_paragraphs(spark):
     df = spark.createDataFrame(corpus(), "id long, source_document_id string, page_number int, text string")
     got = P.paragraphs(df).collect()
