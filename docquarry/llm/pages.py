@@ -309,7 +309,9 @@ class Vocabulary:
     first_parts: dict[str, int]
     pages: int
     near: dict[str, list[tuple[int, str, int]]]
-    plain: dict[str, bool] = field(default_factory=dict)
+    plain: set[str] = field(default_factory=set)
+    kinds: dict[str, int] = field(default_factory=dict)
+    triples: dict[tuple, bool] = field(default_factory=dict)
 
     def count(self, word: str) -> int:
         return self.words.get(word, 0)
@@ -344,16 +346,36 @@ class Vocabulary:
         own, (best, mate) = self.fits(before, w, after), max((self.fits(before, m, after), m) for m in mates)
         return mate if best >= 20 and best >= RATIO * max(own, 0.5) else None
 
-    def is_plain(self, token: str) -> bool:
-        """Whether nothing can be found of a token whatever stands beside it (codes apart)."""
-        known = self.plain.get(token)
+    def kind(self, token: str) -> int:
+        """What can be found of a token (codes apart): 0 nothing, 1 a look-alike by its neighbours, 2 something else."""
+        known = self.kinds.get(token)
         if known is None:
             w = token.lower()
-            near = self.candidates(w)
-            known = token.isdigit() or not (_MIXED.match(token) or (len(token) == 1 and token in _LETTERS) or (near and (likely_mates(w, self.count(w), near) or mates_in_use(self.count(w), near))) or _digit_inside(token, self))
-            self.plain[token] = known
+            own, near = self.count(w), self.candidates(w)
+            alone = not token.isdigit() and (_MIXED.match(token) or (len(token) == 1 and token in _LETTERS) or likely_mates(w, own, near) or _digit_inside(token, self))
+            known = self.kinds[token] = 2 if alone else 1 if not token.isdigit() and mates_in_use(own, near) else 0
+            if not known:
+                self.plain.add(token)
         return known
 
+    def any_open(self, tokens: list[str]) -> bool:
+        """Whether anything may be found in a line of tokens: false for most lines, so these need no closer look."""
+        if self.plain.issuperset(tokens):
+            return False
+        for n, token in enumerate(tokens):
+            if token in self.plain or not (kind := self.kind(token)):
+                continue
+            if kind == 2:
+                return True
+            before, after = (_lower(tokens[n - 1]) if n else None), (_lower(tokens[n + 1]) if n + 1 < len(tokens) else None)
+            triple = (before, token, after)
+            if triple not in self.triples:
+                w = token.lower()
+                self.triples[triple] = any(self.fits(before, m, after) >= 20 for m in mates_in_use(self.count(w), self.candidates(w)))
+            if self.triples[triple]:
+                return True
+        return False
+
 
 def likely_mates(w: str, own: int, near: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """The candidates so frequent that ``w`` is taken for a misreading (``own``: its pages)."""
@@ -601,8 +623,8 @@ def _tail(after: str | None) -> str | None:
     return following[0] if following and not after[: following.start()].strip() else None
 
 
-def needed(text: str | None, layout: bool, furniture: list[int]) -> tuple[set[str], set[tuple[str, str]]]:
-    """Words, and kind and key of the other counts, that :func:`read_page` may ask for, but for pairs."""
+def needed(text: str | None, layout: bool, furniture: list[int]) -> tuple[set[str], set[str]]:
+    """Words in lower case, and the other keys behind the letter of their kind, that :func:`read_page` may ask for, but for pairs."""
     lines = lines_of(text) if text else []
     body, words, keys = _body(lines, furniture), set(), set()
     for k, i in enumerate(body):
@@ -610,14 +632,14 @@ def needed(text: str | None, layout: bool, furniture: list[int]) -> tuple[set[st
         words.update(own)
         if layout and (m := divided_end(lines[i])):
             a, after = m[1].lower(), lines[body[k + 1]] if k + 1 < len(body) else None
-            words.add(a), keys.add(("p", a))
+            words.add(a), keys.add(f"p{a}")
             if tail := _tail(after):
                 b = tail.lower()
                 words |= {b, a + b}
-                keys.add(("h", f"{a}-{b}"))
+                keys.add(f"h{a}-{b}")
             if own and after and (first := _WORD.search(after)):
-                words.add((own[-1] + first[0]).lower())
-    return words, keys
+                words.add(own[-1] + first[0])
+    return {w.lower() for w in words if not w.isdigit()}, keys
 
 
 class Sieve:
@@ -629,7 +651,7 @@ class Sieve:
         self.cells = np.zeros(self.BITS // 32, np.int64)
         if cells:
             self.cells[np.fromiter(cells, np.int64, len(cells))] = np.fromiter(cells.values(), np.int64, len(cells))
-        self.known: dict[str, bool] = {}
+        self.known: dict[str, int] = {}
 
     @classmethod
     def of(cls, words: DataFrame) -> Sieve:
@@ -640,29 +662,34 @@ class Sieve:
         return cls(dict(zip(cells["cell"].to_pylist(), cells["bits"].to_pylist(), strict=True)))
 
     def __contains__(self, word: str) -> bool:
-        found = self.known.get(word)
+        h = xxhash.xxh64_intdigest(word.encode(), 42)
+        h -= (h >> 63) << 64  # as the engine's signed hash
+        return all(self.cells[p >> 5] >> (p & 31) & 1 for p in (h % self.BITS, (h >> 30) % self.BITS))
+
+    def kind(self, token: str) -> int:
+        """Of a token as it stands: 0 if neighbours don't matter, 1 if they may, 2 for a letter that may be a digit."""
+        found = self.known.get(token)
         if found is None:
-            h = xxhash.xxh64_intdigest(word.encode(), 42)
-            h -= (h >> 63) << 64  # as the engine's signed hash
-            found = all(self.cells[p >> 5] >> (p & 31) & 1 for p in (h % self.BITS, (h >> 30) % self.BITS))
-            self.known[word] = found
+            found = self.known[token] = 2 if token in _LETTERS else int(not token.isdigit() and token.lower() in self)
         return found
 
 
 def needed_pairs(text: str | None, furniture: list[int], contextual: Sieve) -> set[str]:
     """The pairs of words beside each other that :func:`read_page` may ask for: those of words for which neighbours matter."""
-    lines, keys = lines_of(text) if text else [], set()
+    lines, keys, known = lines_of(text) if text else [], set(), contextual.known
     for i in _body(lines, furniture):
         words = _WORD.findall(lines[i])
-        low = [_lower(w) for w in words]
-        for n, w in enumerate(low):
-            if w != "#" and w in contextual:
-                if n:
-                    keys.add(f"{low[n - 1]} {w}")
-                if n + 1 < len(low):
-                    keys.add(f"{w} {low[n + 1]}")
-            if n and words[n] in _LETTERS:
-                keys |= {f"{low[n - 1]} #", f"{low[n - 1]} {w}"}
+        for n, token in enumerate(words):
+            kind = known.get(token)
+            if not (contextual.kind(token) if kind is None else kind):
+                continue
+            w = token.lower()
+            if n:
+                keys.add(f"{_lower(words[n - 1])} {w}")
+                if contextual.kind(token) == 2:
+                    keys.add(f"{_lower(words[n - 1])} #")
+            if n + 1 < len(words):
+                keys.add(f"{w} {_lower(words[n + 1])}")
     return keys
 
 
@@ -678,7 +705,7 @@ def read_page(text: str | None, layout: bool, furniture: list[int], v: Vocabular
     for k, i in enumerate(body):
         line = out[i]
         after = out[body[k + 1]].text if k + 1 < len(body) else None
-        if carried is None and line.text.rstrip()[-1:] not in _MARKS and not ("-" in line.text and _CODE.search(line.text)) and all(map(v.is_plain, _WORD.findall(line.text))):
+        if carried is None and line.text.rstrip()[-1:] not in _MARKS and not ("-" in line.text and _CODE.search(line.text)) and not v.any_open(_WORD.findall(line.text)):
             continue
         spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(line.text)]
         if layout and (m := divided_end(line.text)):
@@ -704,7 +731,7 @@ def read_page(text: str | None, layout: bool, furniture: list[int], v: Vocabular
         inner = spans[first : len(spans) - 1 if line.divided else len(spans)]
         codes = [m.span() for m in _CODE.finditer(line.text)] if "-" in line.text else []
         for n, (a, b, token) in enumerate(inner):
-            if token.isdigit() or (not codes and v.is_plain(token)):
+            if token.isdigit() or (not codes and not v.kind(token)):
                 continue
             inside = next((c for c in codes if c[0] <= a and b <= c[1]), None)
             if inside:  # of a code only the digits can be judged
@@ -752,22 +779,17 @@ def _read(pages: DataFrame, schema: str, emit) -> DataFrame:
         v = sent.value.prepare()
         for batch in batches:
             found = [furniture_of(t, n, frozenset(f or ()), v) for n, t, f in zip(*(batch.column(c).to_pylist() for c in ("page", "text", "forms")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x[0] for x in found], pa.bool_()), pa.array([x[1] for x in found], pa.list_(pa.int32()))], names=["page_id", "doc", "page", "text", "layout", "furniture"])
+            asked = [needed(t, *x) for t, x in zip(batch.column("text").to_pylist(), found, strict=True)]
+            lists = [pa.array([sorted(x[i]) for x in asked], pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x[0] for x in found], pa.bool_()), pa.array([x[1] for x in found], pa.list_(pa.int32())), *lists], names=["page_id", "doc", "page", "text", "layout", "furniture", "words", "keys"])
 
-    marked = joined.mapInArrow(mark, "page_id bigint, doc string, page int, text string, layout boolean, furniture array<int>")
+    noted = joined.mapInArrow(mark, "page_id bigint, doc string, page int, text string, layout boolean, furniture array<int>, words array<string>, keys array<string>")
     blocks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_pages // BLOCK)
-    marked = stored(marked.withColumn("block", F.pmod(F.xxhash64("page_id", "doc", "page"), F.lit(blocks)).cast("int")), "marked")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = set()
-            for block, t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, other = needed(t, y, f)
-                keys.update((block, "w", _lower(w)) for w in words)
-                keys.update((block, *key) for key in other)
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))], names=["block", "kind", "key"])
-
-    asked = stored(marked.select("block", "text", "layout", "furniture").mapInArrow(ask, "block int, kind string, key string").distinct(), "asked")
+    noted = stored(noted.withColumn("block", F.pmod(F.xxhash64("page_id", "doc", "page"), F.lit(blocks)).cast("int")), "marked")
+    marked = noted.drop("words", "keys")
+    distinct = lambda column: noted.select("block", F.explode(column).alias("key")).distinct()
+    other = distinct("keys").select("block", F.substring("key", 1, 1).alias("kind"), F.expr("substring(key, 2)").alias("key"))
+    asked = stored(distinct("words").select("block", F.lit("w").alias("kind"), "key").unionByName(other), "asked")
     words = stored(with_candidates(asked.where("kind = 'w'").select("key").distinct(), counts.where("kind = 'w'").select("key", "n")), "words")
     # pairs are asked for where neighbours decide: those of the words, and of the candidates in their place
     contextual = pages.sparkSession.sparkContext.broadcast(Sieve.of(words.where("contextual").select("key")))  # of fixed size
