@@ -259,3 +259,49 @@ def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"k{j}") for i in range(40) for j in (i, i + 1)] + [("z", "alone")], "node string, key string")
     got = {r["node"]: r["root"] for r in I.components(edges).collect()}
     assert {v for k, v in got.items() if k != "z"} == {"n000"} and got["z"] == "z"
+
+
+def test_a_new_session_reads_only_what_a_batch_hits(spark, tmp_path):
+    rows = [(f"r{i:05d}", f"AB12-{i:07d}_Draft_Report_v1.pdf", f"{i + 1:064x}", 1) for i in range(2000)]
+    schema = "id string, file_name string, sha256 string, batch_no int"
+    backlog = I.described(spark.createDataFrame(rows, schema))
+    path = f"{tmp_path}/history"
+    I.add_batch(I.start(backlog, path, parts=200), backlog)
+    state = I.open_state(spark, path)
+    assert state.generations == (1,) and state.titles == {"draft report": 2000}
+    new = [("n1", "copy of AB12-0000007 draft report v1.pdf", None, 2), ("n2", "scan.pdf", f"{9:064x}", 2), ("r00003", "x.pdf", None, 2), ("n3", "AB12-0000007_Draft_Report_v1.pdf", f"{9:064x}", 2)]
+    batch = I.described(spark.createDataFrame(new, schema))
+    asked = []
+    table = I.State.table
+    I.State.table = lambda self, name, only=None: asked.append((name, only)) or table(self, name, only)
+    try:
+        after = I.add_batch(state, batch)
+    finally:
+        I.State.table = table
+    assert all(only is not None for _, only in asked) and {n for n, _ in asked} == {"members", "keys", "mapping", "classes"}
+    read = sum(table(state, name, only).count() for name, only in asked)
+    assert read < 200  # of 2,000 members and 4,000 keys
+    held = I.open_state(spark, path)
+    assert held.generations == (1, 2) == after.generations
+    got = {r["id"]: (r["class_id"], r["held"]) for r in I.classes(held).where("id in ('r00007', 'r00008', 'n1', 'n2', 'n3', 'r00003')").collect()}
+    root = got["n1"][0]
+    assert {got[x][0] for x in ("r00007", "r00008", "n1", "n2", "n3")} == {root} and got["r00003"][0] == "r00003"
+    assert got["n1"][1] and got["n2"][1] and not got["r00007"][1]
+    whole = I.compacted(held)
+    assert whole.generations == (3,) and sorted(map(tuple, I.classes(whole).collect())) == sorted(map(tuple, I.classes(held_again(spark, path)).collect()))
+    sizes = {r["id"]: r["n_links"] for r in I.class_sizes(I.classes(whole)).where("id in ('n1', 'r00003')").collect()}
+    assert sizes == {"n1": 4, "r00003": 0}
+
+
+def held_again(spark, path):
+    state = I.open_state(spark, path)
+    assert state.generations == (3,)
+    return state
+
+
+def test_rounds_over_executors_give_the_same_classes(spark, monkeypatch):
+    df = spark.createDataFrame(files(), "id string, file_name string, sha256 string, batch_no int")
+    wanted = {(r["id"], r["class_id"]) for r in I.classes(I.load(df, 2)).collect()}
+    monkeypatch.setattr(I, "LOCAL_LINKS", 0)
+    monkeypatch.setattr(I, "GENERATIONS", 2)
+    assert {(r["id"], r["class_id"]) for r in I.classes(I.load(df, 2)).collect()} == wanted
