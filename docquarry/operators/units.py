@@ -15,10 +15,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
+from docquarry.cluster import stored
 from docquarry.functions.edit import nearest_name, plain_words
 
 #: Prefixes and units by dimension (mass g, amount mol, volume L, time h, area m2).
@@ -119,40 +120,51 @@ def unit_in_text(text: str, value: float, common: str, dose: bool = False) -> st
     return None
 
 
-_STATED = "id bigint, value double, unit string, factor double, needs string, unit_status string"
+@lru_cache(maxsize=200_000)
+def _unit_of(parameter: str, common: str, value: float | None, unit: str | None, note: str | None, fallback: str | None) -> tuple[str | None, float | None, str | None, str]:
+    """Unit, factor, what else it needs, and status of one value."""
+    dose, found, status = parameter == "dose", None, "unknown"
+    if unit is not None and unit.strip().lower() not in NO_UNIT and conversion(unit, common, dose):
+        found, status = unit.strip(), "stated"
+    elif note and value is not None and math.isfinite(value) and (u := unit_in_text(note, value, common, dose)):
+        found, status = u, "text"
+    elif fallback and conversion(fallback, common, dose):
+        found, status = fallback, "column"
+    return found, *(conversion(found, common, dose) if found else (None, None)), status
 
 
-def _stated(rows: DataFrame, common: dict[str, str]) -> DataFrame:
-    """``rows``: id, parameter, value, unit, note, fallback -> the stated unit of each value.
+def _stated(rows: DataFrame, common: dict[str, str], numbers: tuple[tuple[str, str], ...] = (("value", "fallback"),)) -> DataFrame:
+    """``rows``: parameter, unit, note and other columns, which are kept -> the stated unit of each value, in one pass.
 
-    unit_status: ``stated`` (unit column), ``text`` (note), ``column`` (fallback, the unit
-    of the column's name), ``unknown``; null values keep a stated unit and have no other.
+    ``numbers``: pairs of a value's column and that of its fallback (the unit of the
+    column's name). Adds for each value ``<value>_unit``, ``_factor``, ``_needs`` and
+    ``_status``: ``stated`` (unit column), ``text`` (note), ``column`` (fallback),
+    ``unknown``; null values keep a stated unit and have no other.
     """
+    kinds = (("unit", T.StringType(), pa.string()), ("factor", T.DoubleType(), pa.float64()), ("needs", T.StringType(), pa.string()), ("status", T.StringType(), pa.string()))
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"{value}_{name}", kind) for value, _ in numbers for name, kind, _ in kinds]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, parameter, value, unit, note, fallback in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                target, dose = common.get(parameter), parameter == "dose"
-                found, status = None, "unknown"
-                if target is not None:
-                    if unit is not None and unit.strip().lower() not in NO_UNIT and conversion(unit, target, dose):
-                        found, status = unit.strip(), "stated"
-                    elif note and value is not None and math.isfinite(value) and (u := unit_in_text(note, value, target, dose)):
-                        found, status = u, "text"
-                    elif fallback and conversion(fallback, target, dose):
-                        found, status = fallback, "column"
-                factor, needs = conversion(found, target, dose) if found else (None, None)
-                out.append((key, value, found, factor, needs, status))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.float64(), pa.string(), pa.float64(), pa.string(), pa.string()), strict=True)], names=["id", "value", "unit", "factor", "needs", "unit_status"])
-
-    return rows.select("id", "parameter", "value", "unit", "note", "fallback").mapInArrow(run, _STATED)
+            columns = list(batch.columns)
+            parameter, unit, note = (batch.column(c).to_pylist() for c in ("parameter", "unit", "note"))
+            for value, fallback in numbers:
+                own = zip(parameter, batch.column(value).to_pylist(), unit, note, batch.column(fallback).to_pylist(), strict=True)
+                # without a note the number doesn't matter, so few distinct cases are looked at
+                found = [_unit_of(p, common[p], v if n else None, u, n, f) if p in common else (None, None, None, "unknown") for p, v, u, n, f in own]
+                columns += [pa.array([x[k] for x in found], kind) for k, (_, _, kind) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
 
 
 def study_facts(studies: DataFrame, terms: DataFrame) -> DataFrame:
     """study_id, mol_weight, km (of the species entry, null where it denotes none), once per study."""
     names: dict[str, float] = {}
-    for r in terms.where("field = 'species' and km is not null").select("term", "alt_names", "km").limit(100_000).collect():
+    rows = terms.where("field = 'species' and km is not null").select("term", "alt_names", "km").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("too many species")
+    for r in rows:
         for name in [r["term"], *(r["alt_names"] or [])]:
             names.setdefault("".join(plain_words(name)), float(r["km"]))
 
@@ -177,10 +189,11 @@ def _common(ref_unit: DataFrame) -> dict[str, str]:
     return {r["parameter"]: r["common_unit"] for r in rows}
 
 
-def _converted(df: DataFrame) -> DataFrame:
-    """Adds common_value: null where unit, molecular weight or km is missing, and for values that aren't finite."""
-    value = F.when(F.col("needs") == "", F.col("value") * F.col("factor")).when(F.col("needs") == "mol_weight", F.col("value") * F.col("factor") * F.col("mol_weight")).when(F.col("needs") == "km", F.col("value") * F.col("factor") / F.col("km"))
-    return df.withColumn("common_value", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), value))
+def _in_common(value: str) -> Column:
+    """The value in the common unit: null where unit, molecular weight or km is missing, and for values that aren't finite."""
+    v, factor, needs = F.col(value), F.col(f"{value}_factor"), F.col(f"{value}_needs")
+    out = F.when(needs == "", v * factor).when(needs == "mol_weight", v * factor * F.col("mol_weight")).when(needs == "km", v * factor / F.col("km"))
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), out)
 
 
 def exposure_values(metrics: DataFrame, studies: DataFrame, terms: DataFrame, ref_unit: DataFrame) -> DataFrame:
@@ -190,68 +203,117 @@ def exposure_values(metrics: DataFrame, studies: DataFrame, terms: DataFrame, re
     """
     common = _common(ref_unit)
     once = metrics.select("id", "study_id", "dose_group_id", "parameter", "timepoint", F.col("value").cast("double").alias("value"), "unit", F.get_json_object("extra_attributes", "$.source_text").alias("note"), F.lit(None).cast("string").alias("fallback")).where("id is not null").dropDuplicates(["id"])
-    keys = once.select("id", "study_id", "dose_group_id", "parameter", "timepoint")
-    stated = _stated(once, common)
-    facts = study_facts(studies, terms)
+    stated = _stated(once, common).join(study_facts(studies, terms), "study_id", "left")
     units = F.create_map(*[F.lit(x) for kv in common.items() for x in kv]) if common else F.create_map(F.lit(""), F.lit(""))
-    return _converted(stated.join(keys, "id").join(facts, "study_id", "left")).withColumn("common_unit", units[F.col("parameter")]).drop("mol_weight", "km", "factor", "needs")
+    return stated.select("id", "study_id", "dose_group_id", "parameter", "timepoint", "value", F.col("value_unit").alias("unit"), F.col("value_status").alias("unit_status"), units[F.col("parameter")].alias("common_unit"), _in_common("value").alias("common_value"))
 
 
 def dose_values(groups: DataFrame, studies: DataFrame, terms: DataFrame, ref_unit: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Every dose group once per id: id, study_id, group_no, sex, value, unit, unit_status, common_value, identity.
 
-    The dose is that of dose_mg_per_kg, else of dose_mg_per_m2; dose_text or the name tells
-    the unit of a column whose number it repeats. ``identity`` compares both columns by
-    mg/m2 = mg/kg x km: ``holds``, ``other_unit`` (a power of ten apart: the combination of
-    units with the least residual isn't that stated), ``broken``, or null where it can't be checked.
+    The dose is that of dose_mg_per_kg, else of dose_mg_per_m2. A column is in the unit that
+    dose_text or the name tells for its number, else in that of its name. Where both are
+    given, all combinations of units of the columns (those told are fixed) are held against
+    mg/m2 = mg/kg x km: of those within ``tolerance`` that with fewest units other than the
+    named ones counts, and ``identity`` is ``holds``, or ``other_unit`` if one is another;
+    if as few would give the dose another value, unit_status is ``ambiguous``. ``broken``:
+    none fits, and units are as told or named; null where it can't be checked.
     """
     common = _common(ref_unit).get("dose", "mg/kg")
     text = F.coalesce(F.nullif(F.trim(F.get_json_object("extra_attributes", "$.dose_text")), F.lit("")), F.nullif(F.regexp_extract("name", r"\(([^()]*)\)[^()]*$", 1), F.lit("")))
-    once = groups.select("id", "study_id", "group_no", "sex", F.col("dose_mg_per_kg").cast("double").alias("kg"), F.col("dose_mg_per_m2").cast("double").alias("m2"), text.alias("note")).where("id is not null").dropDuplicates(["id"])
-    by_mass = F.col("kg").isNotNull()
-    rows = once.select("id", F.lit("dose").alias("parameter"), F.coalesce("kg", "m2").alias("value"), F.lit(None).cast("string").alias("unit"), "note", F.when(by_mass, "mg/kg").otherwise("mg/m2").alias("fallback"))
-    keys = once.select("id", "study_id", "group_no", "sex", F.when(by_mass, F.col("m2")).alias("m2"))
-    joined = _converted(_stated(rows, {"dose": common}).join(keys, "id").join(study_facts(studies, terms), "study_id", "left"))
-    residual = F.log(F.col("m2") / F.col("km")) - F.log("common_value")
-    steps = F.round(residual / math.log(1000.0))
-    identity = F.when((F.col("m2") > 0) & (F.col("common_value") > 0) & F.col("km").isNotNull(), F.when(F.abs(residual) <= tolerance, "holds").when(F.abs(residual - steps * math.log(1000.0)) <= tolerance, "other_unit").otherwise("broken"))
-    return joined.withColumn("identity", identity).select("id", "study_id", "group_no", "sex", "value", "unit", "unit_status", "common_value", "identity")
+    none = F.lit(None).cast("string")
+    once = groups.select("id", "study_id", "group_no", "sex", F.lit("dose").alias("parameter"), none.alias("unit"), text.alias("note"), F.col("dose_mg_per_kg").cast("double").alias("kg"), F.col("dose_mg_per_m2").cast("double").alias("m2"), F.lit("mg/kg").alias("kg_name"), F.lit("mg/m2").alias("m2_name")).where("id is not null").dropDuplicates(["id"])
+    # each column with what the text tells, and with its own name's unit
+    told = _stated(once, {"dose": common}, (("kg", "kg_name"), ("m2", "m2_name"))).join(study_facts(studies, terms), "study_id", "left")
+    def options(c: str) -> Column:
+        read = F.struct(F.lit(0).alias("changed"), _in_common(c).alias("v"), F.col(f"{c}_unit").alias("unit"), F.col(f"{c}_status").alias("status"))
+        other = [(f"{prefix}/{c}", conversion(f"{prefix}/{c}", common, True)) for prefix in ("g", "ug", "ng")]
+        scaled = [F.struct(F.lit(1).alias("changed"), (F.col(c) * F.lit(k[0]) / (F.col("km") if k[1] == "km" else F.lit(1.0))).alias("v"), F.lit(u).alias("unit"), F.lit("column").alias("status")) for u, k in other if k]
+        return F.when(F.col(f"{c}_status") == "column", F.array(read, *scaled)).otherwise(F.array(read))
+
+    apart = lambda a, b: F.abs(F.log(a["v"]) - F.log(b["v"]))
+    checked = F.col("kg").isNotNull() & F.col("m2").isNotNull() & (_in_common("kg") > 0) & (_in_common("m2") > 0)
+    both = F.flatten(F.transform(options("kg"), lambda a: F.transform(options("m2"), lambda b: F.struct((a["changed"] + b["changed"]).alias("changed"), F.bround(apart(a, b), 9).alias("r"), a.alias("kg"), b.alias("m2")))))
+    tried = told.withColumn("fits", F.when(checked, F.array_sort(F.filter(both, lambda x: x["r"] <= tolerance))))
+    best = F.get("fits", F.lit(0))
+    doubt = F.exists("fits", lambda x: (x["changed"] == best["changed"]) & (F.abs(F.log(x["kg"]["v"]) - F.log(best["kg"]["v"])) > tolerance))
+    plain = lambda c: F.struct(_in_common(c).alias("v"), F.col(f"{c}_unit").alias("unit"), F.col(f"{c}_status").alias("status"))
+    solved = F.struct(best["kg"]["v"].alias("v"), best["kg"]["unit"].alias("unit"), best["kg"]["status"].alias("status"))
+    chosen = F.when(best.isNotNull(), solved).when(F.col("kg").isNotNull(), plain("kg")).otherwise(plain("m2"))
+    identity = F.when(checked, F.when(best.isNull(), "broken").when(best["changed"] == 0, "holds").otherwise("other_unit"))
+    return tried.select("id", "study_id", "group_no", "sex", F.coalesce("kg", "m2").alias("value"), chosen["unit"].alias("unit"), F.when(F.coalesce(doubt, F.lit(False)), "ambiguous").otherwise(chosen["status"]).alias("unit_status"), chosen["v"].alias("common_value"), identity.alias("identity"))
+
+
+#: Units that are tried for values without one, by the common unit of their parameter.
+MENU = {"ng/mL": ["ng/mL", "pg/mL", "ug/mL", "mg/mL", "ng/dL"], "ng*h/mL": ["ng*h/mL", "pg*h/mL", "ug*h/mL", "ng*min/mL", "ug*min/mL", "ng*day/mL"], "h": ["h", "min", "s", "day"], "mL/min/kg": ["mL/min/kg", "L/h/kg", "mL/h/kg", "L/day/kg"], "L/kg": ["L/kg", "mL/kg", "dL/kg"]}
+#: mg/kg over ng*h/mL in mL/min/kg; and times in hours with volumes in L: what the identities add in logarithms.
+_PER_HOUR, _HALF = math.log(1e6 / 60), math.log(math.log(2) * 1000 / 60)
+_RELATED = ["CL", "AUCinf", "Vss", "t_half"]
+
+
+def _menu(ref_unit: DataFrame) -> list[tuple[str, str, float]]:
+    """Parameter, unit and factor of all units tried."""
+    return [(p, u, conversion(u, c)[0]) for p, c in _common(ref_unit).items() for u in MENU.get(c, [c]) if conversion(u, c)]
+
+
+def solved_units(values: DataFrame, ref_unit: DataFrame, doses: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """Units of values that state none, by combination: id, unit, residual, n_fitting, unit_status, common_value.
+
+    ``values`` as of :func:`exposure_values`, ``doses`` as of :func:`dose_values` (``id`` the
+    dose group). In each study and dose group the values of a parameter without a unit share
+    one; every combination of units of all such parameters (at most some hundreds) is held
+    against the identities CL = dose / AUCinf and t_half = ln 2 x Vss / CL together with the
+    parameters that are known. The combination with the least sum of squared log residuals
+    counts if each identity is met within ``tolerance``: ``inferred``, or ``ambiguous`` if
+    more than one is. Groups that no identity closes are not in the result.
+    """
+    group = ["study_id", "dose_group_id"]
+    open_ = values.where(F.col("parameter").isin(_RELATED) & (F.col("unit_status") == "unknown") & (F.col("value") > 0)).dropna(subset=group)
+    # known values meet only where something is open
+    levels = values.where(F.col("parameter").isin(_RELATED) & (F.col("common_value") > 0)).join(open_.select(*group).distinct(), group, "left_semi")
+    known = levels.groupBy(*group).pivot("parameter", _RELATED).agg(F.avg(F.log("common_value")))
+    wanting = open_.groupBy(*group).pivot("parameter", _RELATED).agg(F.avg(F.log("value")))
+    named = lambda df, mark: df.select(*group, *[F.col(p).alias(f"{mark}_{p}") for p in _RELATED])
+    both = named(wanting, "open").join(named(known, "known"), group, "left").join(doses.where("common_value > 0").select(F.col("id").alias("dose_group_id"), F.log("common_value").alias("dose")), "dose_group_id", "left")
+    has = {p: F.coalesce(f"open_{p}", f"known_{p}").isNotNull() for p in _RELATED}
+    first = has["CL"] & has["AUCinf"] & F.col("dose").isNotNull()
+    second = has["CL"] & has["Vss"] & has["t_half"]
+    closed = {"CL": first | second, "AUCinf": first, "Vss": second, "t_half": second}
+    tried = both.where(first & F.coalesce("open_CL", "open_AUCinf").isNotNull() | second & F.coalesce("open_CL", "open_Vss", "open_t_half").isNotNull())
+    single = lambda x: F.array(F.struct(F.lit(None).cast("string").alias("unit"), x.alias("x")))
+    for p in _RELATED:
+        units = [F.struct(F.lit(u).alias("unit"), (F.col(f"open_{p}") + math.log(f)).alias("x")) for q, u, f in _menu(ref_unit) if q == p]
+        options = F.when(closed[p] & F.col(f"open_{p}").isNotNull(), F.array(*units)).otherwise(single(F.col(f"known_{p}"))) if units else single(F.col(f"known_{p}"))
+        tried = tried.withColumn(p, F.explode(options))
+    a = F.when(first, F.col("CL.x") + F.col("AUCinf.x") - F.col("dose") - _PER_HOUR)
+    b = F.when(second, F.col("t_half.x") + F.col("CL.x") - F.col("Vss.x") - _HALF)
+    fits = tried.withColumn("residual", F.sqrt(F.coalesce(a * a, F.lit(0.0)) + F.coalesce(b * b, F.lit(0.0)))).where((F.coalesce(F.abs(a), F.lit(0.0)) <= tolerance) & (F.coalesce(F.abs(b), F.lit(0.0)) <= tolerance))
+    units = F.struct(*[F.col(f"{p}.unit").alias(p) for p in _RELATED])
+    best = fits.groupBy(*group).agg(F.count("*").cast("int").alias("n_fitting"), F.min(F.struct(F.col("residual").alias("r"), units.alias("u"))).alias("best"))
+    chosen = F.coalesce(*[F.when(F.col("parameter") == p, F.col(f"best.u.{p}")) for p in _RELATED])
+    rows = open_.join(best, group).select("id", "parameter", "value", chosen.alias("unit"), F.col("best.r").alias("residual"), "n_fitting").where("unit is not null")
+    factor = F.coalesce(*[F.when((F.col("parameter") == p) & (F.col("unit") == u), F.lit(f)) for p, u, f in _menu(ref_unit)], F.lit(None).cast("double"))
+    return rows.select("id", "unit", "residual", "n_fitting", F.when(F.col("n_fitting") == 1, "inferred").otherwise("ambiguous").alias("unit_status"), (F.col("value") * factor).alias("common_value"))
 
 
 def inferred_units(values: DataFrame, ref_unit: DataFrame, doses: DataFrame | None = None, tolerance: float = 0.1) -> DataFrame:
     """Units for the values that state none: id, unit, residual, n_fitting, unit_status, common_value.
 
-    ``values`` as of :func:`exposure_values`. What a value should be follows from the other
-    values of its study and dose group by identities: the same quantity recorded again;
-    CL = dose / AUCinf (``doses`` as of :func:`dose_values`, with ``id`` the dose group); and
-    t_half = ln 2 x Vss / CL. Of all candidate units that with the least log residual is
-    chosen if it is within ``tolerance``: ``inferred``, or ``ambiguous`` if several fit.
-    Values that no identity reaches are not in the result.
+    ``values`` as of :func:`exposure_values`. Where the same quantity (study, dose group,
+    parameter and timepoint) is recorded again with a unit, the unit with the least log
+    residual to it is chosen if it is within ``tolerance``; else that of the group's
+    combination (:func:`solved_units`, with ``doses``). ``inferred``, or ``ambiguous`` if
+    several fit. Values that no identity reaches are not in the result.
     """
-    common = _common(ref_unit)
-    menu = {"ng/mL": ["ng/mL", "pg/mL", "ug/mL", "mg/mL", "ng/dL"], "ng*h/mL": ["ng*h/mL", "pg*h/mL", "ug*h/mL", "ng*min/mL", "ug*min/mL", "ng*day/mL"], "h": ["h", "min", "s", "day"], "mL/min/kg": ["mL/min/kg", "L/h/kg", "mL/h/kg", "L/day/kg"], "L/kg": ["L/kg", "mL/kg", "dL/kg"]}
-    options = [(p, u, conversion(u, c)[0]) for p, c in common.items() for u in menu.get(c, [c]) if conversion(u, c)]
-    spark = values.sparkSession
-    candidates = spark.createDataFrame(options, "parameter string, candidate string, factor double")
-    known = values.where("common_value > 0")
-    group = ["study_id", "dose_group_id"]
-    same = known.groupBy(*group, "parameter", "timepoint").agg(F.avg(F.log("common_value")).alias("expected"))
-    level = known.groupBy(*group).pivot("parameter", ["CL", "AUCinf", "Vss", "t_half"]).agg(F.avg(F.log("common_value")))
-    if doses is not None:
-        level = level.join(doses.where("common_value > 0").select(F.col("id").alias("dose_group_id"), F.log("common_value").alias("dose")), "dose_group_id", "left")
-    else:
-        level = level.withColumn("dose", F.lit(None).cast("double"))
-    # mg/kg over ng*h/mL: 1e6 mL*mg/(ng*h*kg); CL in mL/min/kg; times in hours, volumes in L
-    per_hour, half = math.log(1e6 / 60), math.log(math.log(2) * 1000 / 60)
-    rule = F.expr(
-        f"map('CL', coalesce(dose + {per_hour} - AUCinf, {half} + Vss - t_half), 'AUCinf', dose + {per_hour} - CL, 't_half', {half} + Vss - CL, 'Vss', t_half + CL - {half})"
-    )
+    key = ["study_id", "dose_group_id", "parameter", "timepoint"]
     open_ = values.where("unit_status = 'unknown' and value > 0")
-    wanted = open_.join(same, [*group, "parameter", "timepoint"], "left").join(level.select(*group, rule.alias("rules")), group, "left")
-    wanted = wanted.select("id", "parameter", "value", F.coalesce("expected", F.col("rules")[F.col("parameter")]).alias("expected")).where("expected is not null")
-    tried = wanted.join(F.broadcast(candidates), "parameter").withColumn("residual", F.abs(F.log(F.col("value") * F.col("factor")) - F.col("expected")))
-    fits = tried.withColumn("n_fitting", F.count_if(F.col("residual") <= tolerance).over(W.partitionBy("id"))).withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("residual", "candidate"))).where("n = 1 and n_fitting > 0")
-    return fits.select("id", F.col("candidate").alias("unit"), "residual", F.col("n_fitting").cast("int"), F.when(F.col("n_fitting") == 1, "inferred").otherwise("ambiguous").alias("unit_status"), (F.col("value") * F.col("factor")).alias("common_value"))
+    same = values.where("common_value > 0").groupBy(*key).agg(F.avg(F.log("common_value")).alias("expected"))
+    candidates = values.sparkSession.createDataFrame(_menu(ref_unit), "parameter string, candidate string, factor double")
+    # the menu has some units for each parameter
+    tried = open_.join(same, key).join(F.broadcast(candidates), "parameter").withColumn("residual", F.abs(F.log(F.col("value") * F.col("factor")) - F.col("expected")))
+    best = tried.where(F.col("residual") <= tolerance).groupBy("id").agg(F.count("*").cast("int").alias("n_fitting"), F.min(F.struct("residual", "candidate", (F.col("value") * F.col("factor")).alias("v"))).alias("b"))
+    again = best.select("id", F.col("b.candidate").alias("unit"), F.col("b.residual").alias("residual"), "n_fitting", F.when(F.col("n_fitting") == 1, "inferred").otherwise("ambiguous").alias("unit_status"), F.col("b.v").alias("common_value"))
+    return again if doses is None else again.unionByName(solved_units(values, ref_unit, doses, tolerance).join(again.select("id"), "id", "left_anti"))
 
 
 #: Width of the bands of log values; a little more than the tolerance, so that equals lie in the same or the next band.
@@ -265,7 +327,7 @@ def equal_pairs(values: DataFrame, key: list[str], tolerance: float = 0.01) -> D
     different values of a large key are not compared with each other.
     """
     band = F.when(F.col("common_value") == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(F.abs("common_value")) / (_BAND * tolerance / 0.01)))
-    rows = values.where("common_value is not null").dropna(subset=key).select("id", *key, F.col("common_value").alias("v"), F.signum("common_value").alias("side"), band.alias("band"))
+    rows = stored(values.where("common_value is not null").dropna(subset=key).select("id", *key, F.col("common_value").alias("v"), F.signum("common_value").alias("side"), band.alias("band")), "bands")
     small = rows.select(F.col("id").alias("i"), F.abs("v").alias("a"), *key, "side", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     large = rows.select(F.col("id").alias("j"), F.abs("v").alias("b"), *key, "side", "band")
     met = small.join(large, [*key, "side", "band"]).where(((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("i") < F.col("j")))) & (F.col("b") - F.col("a") <= tolerance * F.col("a") * (1 + 1e-9)))
@@ -273,9 +335,19 @@ def equal_pairs(values: DataFrame, key: list[str], tolerance: float = 0.01) -> D
 
 
 def same_quantity(metrics: DataFrame, groups: DataFrame, studies: DataFrame, terms: DataFrame, ref_unit: DataFrame) -> DataFrame:
-    """table_name, id_a, id_b: records that state the same quantity within 1 %; only stated units count."""
-    exposure = exposure_values(metrics, studies, terms, ref_unit).where("unit_status <> 'unknown'")
-    dose = dose_values(groups, studies, terms, ref_unit).where("unit_status <> 'unknown'")
-    a = equal_pairs(exposure, ["study_id", "dose_group_id", "parameter", "timepoint"]).select(F.lit("ncd_exposure_metric").alias("table_name"), "id_a", "id_b")
-    b = equal_pairs(dose, ["study_id", "group_no", "sex"]).select(F.lit("ncd_dose_group").alias("table_name"), "id_a", "id_b")
+    """table_name, id_a, id_b: records that state the same quantity within 1 %.
+
+    Units come from what is stated and, where nothing is, from the combination that the
+    identities of the group single out (:func:`solved_units`); doses from that of their two
+    columns. Values whose unit stays unknown or ambiguous are in no pair. That the quantity
+    is recorded again proves no unit here, as it would prove the pair by assuming it.
+    """
+    exposure = stored(exposure_values(metrics, studies, terms, ref_unit), "exposures")
+    dose = stored(dose_values(groups, studies, terms, ref_unit), "doses")
+    solved = solved_units(exposure, ref_unit, dose).where("unit_status = 'inferred'").select("id", F.col("common_value").alias("solved"))
+    key = ["study_id", "dose_group_id", "parameter", "timepoint"]
+    known = exposure.where("unit_status <> 'unknown'").select("id", *key, "common_value")
+    found = exposure.where("unit_status = 'unknown'").join(solved, "id").select("id", *key, F.col("solved").alias("common_value"))
+    a = equal_pairs(known.unionByName(found), key).select(F.lit("ncd_exposure_metric").alias("table_name"), "id_a", "id_b")
+    b = equal_pairs(dose.where("unit_status not in ('unknown', 'ambiguous')"), ["study_id", "group_no", "sex"]).select(F.lit("ncd_dose_group").alias("table_name"), "id_a", "id_b")
     return a.unionByName(b)

@@ -93,6 +93,36 @@ def test_inferred_units(spark):
     assert {r["id"]: r["identity"] for r in U.dose_values(g.withColumn("dose_mg_per_m2", g["dose_mg_per_kg"] * 6), studies, terms, units).where("id in (1, 2, 7)").collect()} == {1: "holds", 2: "other_unit", 7: None}
 
 
+def test_doses_by_both_columns(spark):
+    _, g, studies, terms, units = tables(spark)
+    rows = [(1, "s", "Low (0.01 g/kg)", 1, "M", 0.01, 0.06, None), (2, "s", "Low", 1, "M", 10.0, 0.06, None), (3, "s", "Low", 1, "M", 10.0, 77.0, None), (4, "s", "Low (60000 ug/m2)", 1, "M", 10.0, 60000.0, None), (5, "t", "Low", 1, "M", 10.0, 60.0, None)]
+    got = {r["id"]: (r["unit"], r["unit_status"], round(r["common_value"], 9), r["identity"]) for r in U.dose_values(spark.createDataFrame(rows, g.schema), studies, terms, units).collect()}
+    assert got == {1: ("g/kg", "text", 10.0, "other_unit"), 2: (got[2][0], "ambiguous", got[2][2], "other_unit"), 3: ("mg/kg", "column", 10.0, "broken"), 4: ("mg/kg", "column", 10.0, "holds"), 5: ("mg/kg", "column", 10.0, None)}
+
+
+def test_units_by_combination(spark):
+    """CL and AUCinf without units, and Vss with t_half: only one combination closes both identities."""
+    import math
+
+    dose, cl, t_half = 10.0, 50.0, 4.0
+    auc, vss = dose * 1e6 / 60 / cl, t_half * cl / (math.log(2) * 1000 / 60)
+    rows = [(1, 1, "CL", cl * 60 / 1000, None), (2, 1, "AUCinf", auc / 1000, None), (3, 1, "t_half", t_half, "h"), (4, 1, "Vss", vss, "L/kg"), (5, 1, "AUCinf", auc / 1000 * 1.02, None), (6, 2, "CL", cl, None), (7, 2, "AUCinf", auc, None), (8, 3, "CL", cl, None), (9, 4, "Vss", None, None), (10, None, "CL", cl, None)]
+    m = spark.createDataFrame([(i, "s", g, p, v, u, f"Day {i}", None) for i, g, p, v, u in rows], "id long, study_id string, dose_group_id long, parameter string, value double, unit string, timepoint string, extra_attributes string")
+    _, _, studies, terms, _ = tables(spark)
+    units = spark.createDataFrame([("CL", "mL/min/kg"), ("AUCinf", "ng*h/mL"), ("Vss", "L/kg"), ("t_half", "h"), ("dose", "mg/kg")], "parameter string, common_unit string")
+    groups = spark.createDataFrame([(i, "s", "x", 1, "M", dose, None, None) for i in (1, 2, 3, 4)], "id long, study_id string, name string, group_no int, sex string, dose_mg_per_kg double, dose_mg_per_m2 double, extra_attributes string")
+    values, doses = U.exposure_values(m, studies, terms, units), U.dose_values(groups, studies, terms, units)
+    got = {r["id"]: (r["unit"], r["unit_status"]) for r in U.solved_units(values, units, doses).collect()}
+    assert {k: v for k, v in got.items() if k < 6} == {1: ("L/h/kg", "inferred"), 2: ("ug*h/mL", "inferred"), 5: ("ug*h/mL", "inferred")}
+    assert got[6] == ("mL/min/kg", "inferred") and got[7] == ("ng*h/mL", "inferred") and set(got) == {1, 2, 5, 6, 7}
+    wide = {r["id"]: (r["unit"], r["unit_status"], r["n_fitting"] > 1) for r in U.solved_units(values, units, doses, tolerance=0.5).collect()}
+    assert wide[6] == ("mL/min/kg", "ambiguous", True) and wide[1][1] == "ambiguous"
+    # what is solved meets what is stated
+    again = m.unionByName(spark.createDataFrame([(20, "s", 1, "CL", cl, "mL/min/kg", "Day 1", None)], m.schema))
+    pairs = {(r["id_a"], r["id_b"]) for r in U.same_quantity(again, groups, studies, terms, units).where("table_name = 'ncd_exposure_metric'").collect()}
+    assert pairs == {(1, 20)}
+
+
 @given(st.lists(st.tuples(st.integers(0, 2), st.floats(-1e6, 1e6, allow_nan=False)), max_size=12))
 def test_bands_meet_all_equal_values(pairs):
     # the band of the larger of two equal values is that of the smaller or the next
