@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.cluster import stored
+
 #: White space cut from the ends of keys.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
@@ -78,18 +80,26 @@ def _probe(parent: pa.Table, refs: pa.Table) -> pa.Table:
     return pa.table([refs[c].take(keep) for c in ("table_name", "field_name", "record_id", "ref_key", "at")] + [pa.array(state, pa.string()).take(keep)], names=["table_name", "field_name", "record_id", "ref_key", "at", "state"])
 
 
+def unique_parents(parent: DataFrame) -> DataFrame:
+    """Each parent once. Of different deliveries of one key the one that makes fewest references wrong counts: the earliest birth, and no death or the latest."""
+    far = F.lit("9999-12-31").cast("timestamp_ntz")
+    once = parent.groupBy("parent", "ref_key").agg(F.min(F.coalesce("born", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("born"), F.max(F.coalesce("died", far)).alias("died"))
+    return once.select("parent", "ref_key", "born", F.nullif("died", far).alias("died"))
+
+
 def orphans(parent: DataFrame, refs: DataFrame, parents_per_range: int = PARENTS_PER_RANGE, references_per_part: int = REFERENCES_PER_PART) -> DataFrame:
     """References whose record is ``missing``, ``deleted`` (died at or before the reference's time) or ``late`` (born after it).
 
     Inputs as of :func:`parents` and :func:`references`; one row per record and key
     (repeated deliveries of a record count once). A reference without a time can only
-    be missing. Where a parent was delivered more than once, the first of its equal
-    rows in digest order counts. Empty inputs give an empty result or all references
-    as missing.
+    be missing. A parent delivered more than once is one parent (:func:`unique_parents`),
+    so a range never holds more than its share of distinct keys. Empty inputs give an empty
+    result or all references as missing.
     """
-    ranges = max(1, -(-parent.count() // parents_per_range))
+    once = stored(unique_parents(parent), "parents")
+    ranges = max(1, -(-once.count() // parents_per_range))
     place = lambda df: df.withColumn("digest", F.xxhash64("parent", "ref_key")).withColumn("range", F.floor((F.col("digest") / F.lit(2.0**64) + 0.5) * ranges).cast("int"))
-    placed, probed = place(parent), place(refs)
+    placed, probed = place(once), stored(place(refs.dropDuplicates(["table_name", "field_name", "record_id", "ref_key"])), "references")
     parts = {r["range"]: -(-r["count"] // references_per_part) for r in probed.groupBy("range").count().collect()}  # one row per range
     split = {k: v for k, v in parts.items() if v > 1}
     if split:
@@ -98,11 +108,10 @@ def orphans(parent: DataFrame, refs: DataFrame, parents_per_range: int = PARENTS
         placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
     else:
         probed, placed = probed.withColumn("part", F.lit(0)), placed.withColumn("part", F.lit(0))
-    found = placed.groupBy("range", "part").cogroup(probed.groupBy("range", "part")).applyInArrow(
+    return placed.groupBy("range", "part").cogroup(probed.groupBy("range", "part")).applyInArrow(
         lambda left, right: _probe(left, right),
         "table_name string, field_name string, record_id string, ref_key string, at timestamp_ntz, state string",
     )
-    return found.dropDuplicates(["table_name", "field_name", "record_id", "ref_key"])
 
 
 def orphan_counts(found: DataFrame, totals: DataFrame) -> DataFrame:

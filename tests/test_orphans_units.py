@@ -133,3 +133,16 @@ def test_bands_meet_all_equal_values(pairs):
             x, y = sorted((abs(a), abs(b)))
             if x > 0 and y - x <= 0.01 * x:
                 assert math.floor(math.log(y) / U._BAND) - math.floor(math.log(x) / U._BAND) in (0, 1)
+
+
+def test_parents_delivered_often_are_one(spark):
+    from datetime import datetime as D
+
+    born = [D(2024, 1, 1), D(2023, 1, 1), None]
+    p = spark.createDataFrame([("k", b, d) for b in born[:2] for d in (D(2024, 6, 1), None)] * 50 + [("g", D(2023, 1, 1), D(2023, 2, 1)), ("g", D(2023, 1, 1), D(2023, 3, 1)), ("n", None, None)], "id string, born timestamp_ntz, died timestamp_ntz")
+    r = spark.createDataFrame([("r1", "K ", D(2023, 5, 1)), ("r2", "k", D(2022, 5, 1)), ("r3", "g", D(2023, 2, 15)), ("r4", "g", D(2023, 4, 1)), ("r5", "n", D(2000, 1, 1)), ("r6", "none", None)], "rid string, ref string, at timestamp_ntz")
+    parent, refs = O.parents(p, "x", "id", "born", "died"), O.references(r, "t", "ref", "rid", "at", "x")
+    assert O.unique_parents(parent).count() == 3
+    for size in (1, 100_000):
+        got = {x["record_id"]: x["state"] for x in O.orphans(parent, refs, size, size).collect()}
+        assert got == {"r2": "late", "r4": "deleted", "r6": "missing"}
