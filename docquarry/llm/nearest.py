@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ LIST = 1_500
 REPLICAS, REPLICA_RATIO = 4, 1.25
 #: Lists a query looks into at most, and the largest ratio of distances.
 PROBES, PROBE_RATIO = 48, 1.6
-#: Members of one part of a list, and queries that meet them in one task.
-PART, QUERIES = 40_000, 60_000
+#: Bytes of vectors of one part of a list's members, and of the queries that meet them in one task.
+PART, QUERIES = 10_000_000, 15_000_000
 
 
 @dataclass
@@ -144,7 +145,8 @@ def fit(sample: np.ndarray, total: int, k: int, min_cos: float | None, target: f
     lists, sims = np.concatenate(lists), np.concatenate(sims)
     held = _within(sims, REPLICA_RATIO)
     sizes = np.bincount(lists[held], minlength=n) * (total / len(sample))
-    index.parts = np.maximum(1, np.ceil(sizes / PART)).astype(np.int64)
+    width = sample.shape[1] * sample.itemsize
+    index.parts = np.maximum(1, np.ceil(sizes * width / PART)).astype(np.int64)
     rng = np.random.default_rng(seed)
     q = rng.choice(len(sample), min(512, len(sample)), replace=False)
     top, best = [], []
@@ -166,7 +168,7 @@ def fit(sample: np.ndarray, total: int, k: int, min_cos: float | None, target: f
         if not len(hit) or hit.mean() >= target:
             break
     asked = np.bincount(probed[:, : index.probes][probed[:, : index.probes] >= 0], minlength=n) * (total / len(q))
-    index.blocks = np.maximum(1, np.ceil(asked / QUERIES)).astype(np.int64)
+    index.blocks = np.maximum(1, np.ceil(asked * width / QUERIES)).astype(np.int64)
     return index
 
 
@@ -238,19 +240,24 @@ def _meet(dim: int, k: int, min_cos: float | None):
     return run
 
 
-def distinct_vectors(df: DataFrame, key: str, embedding: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Members (key, vid) and classes of equal vectors (vid, vec, first k + 1 keys).
-
-    A row counts once per key. Null, all-zero and not finite vectors, and those whose
-    length isn't the most frequent one, are left out. ``vid`` is a 64-bit digest of the vector.
-    """
+def usable_vectors(df: DataFrame, key: str, embedding: str) -> DataFrame:
+    """key and raw vector, once per key; null, empty, all-zero and not finite vectors are left out."""
     usable = df.select(F.col(key).cast("string").alias("key"), F.col(embedding).cast("array<float>").alias("raw")).where("key is not null and raw is not null").where(
         "size(raw) > 0 and not exists(raw, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(raw, x -> x <> 0)"
     )
-    once = usable.dropDuplicates(["key"])
-    dims = once.groupBy(F.size("raw").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1)
-    once = once.join(F.broadcast(dims.select("dim")), F.size("raw") == F.col("dim"), "left_semi").withColumn("vid", F.xxhash64("raw"))
-    members = stored(once, "vectors")
+    return usable.dropDuplicates(["key"])
+
+
+def distinct_vectors(once: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, vid) and classes of equal vectors (vid, vec, first k + 1 keys).
+
+    ``vid`` is a 64-bit digest of the vector; where two vectors share one, another salt is taken.
+    """
+    for salt in range(64):
+        digested = once.withColumn("vid", F.xxhash64("raw", F.lit(salt)))
+        members = stored(digested, "vectors")
+        if members.groupBy("vid").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").isEmpty():
+            break
     first = members.withColumn("n", F.row_number().over(W.partitionBy("vid").orderBy("key"))).where(F.col("n") <= k + 1)
     classes = first.groupBy("vid").agg(F.first("raw").alias("vec"), F.array_sort(F.collect_list("key")).alias("keys"))
     return members.select("key", "vid"), classes
@@ -278,11 +285,25 @@ def neighbours(df: DataFrame, key: str = "chunk_id", embedding: str = "embedding
     """chunk, neighbour, rank, cosine: the ``k`` most similar other keys of every key, ties by smaller key.
 
     ``min_cos`` leaves out less similar neighbours (the same rows as a later filter).
-    Equal vectors are searched once: a class of equal vectors brings its first k + 1
+    Vectors are compared with those of their own length. Equal vectors are searched once: a class of equal vectors brings its first k + 1
     keys, which is all that any result can need. Null, zero and not finite vectors are in
     no row; an empty table gives no rows; other columns are ignored.
     """
-    members, classes = distinct_vectors(df, key, embedding, k)
+    once = stored(usable_vectors(df, key, embedding), "usable")
+    sizes = [r[0] for r in once.select(F.size("raw").alias("n")).distinct().limit(LENGTHS + 1).collect()]
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
+    each = [_neighbours(once.where(F.size("raw") == n) if len(sizes) > 1 else once, k, min_cos, target) for n in sorted(sizes) or [1]]
+    return reduce(DataFrame.unionByName, each)
+
+
+#: Different lengths of vectors in one table at most.
+LENGTHS = 16
+
+
+def _neighbours(once: DataFrame, k: int, min_cos: float | None, target: float) -> DataFrame:
+    """As :func:`neighbours`, for usable vectors of one length."""
+    members, classes = distinct_vectors(once, k)
     classes = stored(classes, "classes")
     near = class_neighbours(classes, k, min_cos, target)
     other = classes.select(F.col("vid").alias("other"), F.col("keys").alias("other_keys"))
