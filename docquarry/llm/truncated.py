@@ -106,42 +106,55 @@ def inspect(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return df.select(F.col(key), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, source string, ending string, lengths array<bigint>")
 
 
-def limits(inspected: DataFrame, least: int = 8, deviations: float = 6.0, around: int = 60) -> DataFrame:
+def limits(inspected: DataFrame, least: int = 8, deviations: float = 6.0, around: int = 60, key: str = "doc_id") -> DataFrame:
     """source, encoding, limit, n_at, n_over, n_texts, best: lengths that far too many texts of a source share.
 
     A spike exceeds what the lengths within ``around`` of it (but not next to it) hold on
-    average by ``least`` texts and ``deviations`` standard deviations.
+    average by ``least`` texts and ``deviations`` standard deviations. The same limit may
+    show under several encodings: a text speaks for that under which most texts share its
+    length, and a spike is ``best`` if most of its texts speak for it. So a source may have
+    several limits, each under an encoding of its own.
     """
-    sized = inspected.where("lengths is not null and ending <> 'empty'").select("source", F.posexplode("lengths").alias("e", "length")).groupBy("source", "e", "length").agg(F.count("*").alias("n"))
+    texts = inspected.where("lengths is not null and ending <> 'empty'").select(F.col(key).alias("__key"), F.coalesce("source", F.lit(_NO_SOURCE)).alias("source"), F.posexplode("lengths").alias("e", "length"))
+    sized = texts.groupBy("source", "e", "length").agg(F.count("*").alias("n"))
     w = W.partitionBy("source", "e").orderBy("length")
     near = sized.withColumn("wide", F.sum("n").over(w.rangeBetween(-around, around))).withColumn("close", F.sum("n").over(w.rangeBetween(-4, 4))).withColumn("over", F.sum("n").over(w.rangeBetween(1, W.unboundedFollowing))).withColumn("all", F.sum("n").over(W.partitionBy("source", "e")))
     usual = (F.col("wide") - F.col("close")) / (2 * around - 8)
-    spike = near.where(F.col("n") >= usual + least + deviations * F.sqrt(usual))
+    spikes = stored(near.where(F.col("n") >= usual + least + deviations * F.sqrt(usual)), "spikes")
+    # each text at spikes speaks for one of them
+    voices = texts.join(spikes.select("source", "e", "length", "n"), ["source", "e", "length"]).groupBy("source", "__key").agg(F.min(F.struct((-F.col("n")).alias("n"), "e", "length")).alias("v"))
+    own = voices.groupBy("source", F.col("v.e").alias("e"), F.col("v.length").alias("length")).agg(F.count("*").alias("own"))
     names = F.array(*[F.lit(x) for x in ENCODINGS])
-    # the encoding in which the limit was set gathers most texts on one length
-    first = F.first("e").over(W.partitionBy("source").orderBy(F.desc("n"), "e", "length"))
-    return spike.select("source", F.element_at(names, F.col("e") + 1).alias("encoding"), F.col("length").alias("limit"), F.col("n").alias("n_at"), F.coalesce("over", F.lit(0)).alias("n_over"), F.col("all").alias("n_texts"), (F.col("e") == first).alias("best"))
+    joined = spikes.join(own, ["source", "e", "length"], "left")
+    return joined.select(F.nullif("source", F.lit(_NO_SOURCE)).alias("source"), F.element_at(names, F.col("e") + 1).alias("encoding"), F.col("length").alias("limit"), F.col("n").alias("n_at"), F.coalesce("over", F.lit(0)).alias("n_over"), F.col("all").alias("n_texts"), (2 * F.coalesce("own", F.lit(0)) >= F.col("n")).alias("best"))
+
+
+#: Stands for a null source.
+_NO_SOURCE = "\0"
 
 
 def truncated(inspected: DataFrame, found: DataFrame, key: str = "doc_id", slack: int = 3) -> DataFrame:
-    """key, source, ending, at_limit of the texts that were cut off.
+    """key, source, ending, at_limit, encoding, limit of the texts that were cut off.
 
-    Open endings and residues are cuts by themselves; an unclear ending is one only where
-    the length lies at a hidden limit of the source (up to ``slack`` below it: a cut may
-    drop half a character and outer blanks; or above it: a mark put behind).
+    The hidden limits of the source come first: a text lies at one if its length under the
+    limit's encoding is up to ``slack`` below it (a cut may drop half a character and outer
+    blanks) or above it (a mark put behind), the nearest counting. There, any ending that
+    isn't closed is a cut, a short line or list item too; elsewhere (limits that too few
+    texts show, transfers that broke) only one within a word or sentence, with null encoding and limit.
     """
-    caps = found.where("best").groupBy("source").agg(F.collect_set(F.struct("encoding", "limit")).alias("caps"))
+    caps = found.where("best").groupBy(F.coalesce("source", F.lit(_NO_SOURCE)).alias("__s")).agg(F.collect_set(F.struct("encoding", "limit")).alias("caps"))
     names = F.array(*[F.lit(x) for x in ENCODINGS])
-    joined = inspected.alias("i").join(caps.alias("c"), F.col("i.source").eqNullSafe(F.col("c.source")), "left")
-    at = F.coalesce(F.exists("caps", lambda c: F.abs(F.element_at(F.col("lengths"), F.array_position(names, c["encoding"]).cast("int")) - c["limit"]) <= slack), F.lit(False))
-    rows = joined.select(F.col(f"i.{key}").alias(key), F.col("i.source").alias("source"), "ending", at.alias("at_limit"))
-    return rows.where("ending in ('open', 'residue') or (ending = 'unclear' and at_limit)")
+    joined = inspected.withColumn("__s", F.coalesce("source", F.lit(_NO_SOURCE))).join(caps, "__s", "left")
+    off = lambda c: F.abs(F.element_at(F.col("lengths"), F.array_position(names, c["encoding"]).cast("int")) - c["limit"])
+    nearest = F.get(F.array_sort(F.filter(F.transform("caps", lambda c: F.struct(off(c).alias("off"), c["encoding"].alias("encoding"), c["limit"].alias("limit"))), lambda x: x["off"] <= slack)), F.lit(0))
+    rows = joined.withColumn("cap", nearest).select(key, "source", "ending", F.col("cap").isNotNull().alias("at_limit"), F.col("cap.encoding").alias("encoding"), F.col("cap.limit").alias("limit"))
+    return rows.where("(at_limit and ending in ('open', 'residue', 'unclear')) or (not at_limit and ending in ('open', 'residue'))")
 
 
 def find(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """The inspected texts (kept in the shared folder) and those cut off, once per key."""
     seen = stored(inspect(df, key, text, source), "endings")
-    return seen, truncated(seen, limits(seen), key).dropDuplicates([key])
+    return seen, truncated(seen, limits(seen, key=key), key).dropDuplicates([key])
 
 
 def shares(seen: DataFrame, cut: DataFrame, key: str = "doc_id") -> DataFrame:
