@@ -88,4 +88,14 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_batches": p7_batches, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_limits": p10_limits, "p10_shares": p10_shares}
-SQL: dict[str, str] = {}
+
+_OUTER = r"^[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+$"
+_NEIGHBOURS = """v as (select chunk_id, any_value(cast(embedding as double[])) as e from ncd_text_chunk_embedding where embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
+ s as (select a.chunk_id as chunk, b.chunk_id as neighbour, case when a.e = b.e then 1.0 else list_cosine_similarity(a.e, b.e) end as cosine from v a join v b on a.chunk_id <> b.chunk_id),
+ k as (select * from s qualify row_number() over (partition by chunk order by round(cosine, 12) desc, neighbour) <= 10)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"with {_NEIGHBOURS} select a.chunk as chunk_a, a.neighbour as chunk_b from k a join k b on a.chunk = b.neighbour and a.neighbour = b.chunk where a.chunk < a.neighbour and a.cosine >= 0.9",
+    "p4_found": rf"""with t as (select distinct on (id) id, raw_text as t from ncd_text_chunk where length(raw_text) > 1500), p as (select id, t, list_transform(string_split_regex(t, '(?:\r\n|\n|\r)(?:[^\S\r\n]*(?:\r\n|\n|\r))+'), lambda x: length(regexp_replace(x, '{_OUTER}', '', 'g'))) as ns from t)
+ select id as chunk_id, case when list_max(list_transform(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+'), lambda x: length(x))) > 1500 then 'hard' when list_max(ns) <= 1500 then 'paragraph' else 'within' end as cut_level from p""",
+}

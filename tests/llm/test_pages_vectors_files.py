@@ -169,8 +169,8 @@ def test_recall_against_brute_force(spark, monkeypatch):
     centres = rng.normal(size=(60, 16))
     x = (centres[rng.integers(0, 60, 1500)] + 0.4 * rng.normal(size=(1500, 16))).astype(np.float32)
     monkeypatch.setattr(N, "LIST", 60)
-    monkeypatch.setattr(N, "PART", 40)
-    monkeypatch.setattr(N, "QUERIES", 70)
+    monkeypatch.setattr(N, "PART", 40 * 64)  # bytes of 40 vectors
+    monkeypatch.setattr(N, "QUERIES", 70 * 64)
     got = {(r["chunk"], r["neighbour"]) for r in N.neighbours(vectors(spark, x)).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     sims = u.astype(np.float64) @ u.T
@@ -190,6 +190,28 @@ def test_equal_null_and_zero_vectors(spark):
     assert N.neighbours(df.where("false")).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    df = vectors(spark, [[1.0, 0.0], [0.9, 0.1], [1.0, 0.0, 0.0], [0.9, 0.1, 0.0], [0.0, 1.0, 0.1]])
+    got = {(r["chunk"], r["neighbour"]) for r in N.neighbours(df, k=5).collect()}
+    assert got == {("c00000", "c00001"), ("c00001", "c00000")} | {(f"c0000{i}", f"c0000{j}") for i in (2, 3, 4) for j in (2, 3, 4) if i != j}
+
+
+def test_vectors_that_share_a_digest_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    digest, salts = F.xxhash64, []
+
+    def bad(*cs):
+        if len(cs) == 2 and cs[0] == "raw":
+            salts.append(1)
+            return F.lit(7).cast("bigint") if len(salts) == 1 else digest(*cs)
+        return digest(*cs)
+
+    monkeypatch.setattr(N.F, "xxhash64", bad)
+    got = {(r["chunk"], r["neighbour"]) for r in N.neighbours(vectors(spark, [[1.0, 0.0], [0.0, 1.0]])).collect()}
+    assert got == {("c00000", "c00001"), ("c00001", "c00000")} and len(salts) == 2
+
+
 # p7
 
 H = "ab" * 32

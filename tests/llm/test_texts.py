@@ -111,6 +111,16 @@ def test_denoted(spark):
     assert {r["term_id"] for r in C.denoted(values, terms.where("false")).collect()} == {0}
 
 
+def test_shards_give_what_one_list_gives(spark):
+    terms = spark.createDataFrame([("species", *e) for e in ENTRIES] + [("organ", 1, "liver", None), ("organ", 2, "adrenal gland", None)], "field string, term_id int, term string, alt_names array<string>")
+    forms = ["RAT", "male rat (n=20)", "Rattus norvegicus.", "guineaig", "pig, guinea", "maromset", "m0use", "mice", "bat", "hare", "???", "liver", "lever", "gland, adrenal", "adrenals"]
+    values = spark.createDataFrame([(f, v) for f in ("species", "organ", "none") for v in forms], "field string, value string")
+    one = sorted(map(tuple, C.map_values(values, terms).collect()))
+    for shard in (1, 3):
+        assert sorted(map(tuple, C.map_values(values, terms, shard).collect())) == one
+    assert C.map_values(values.where("false"), terms, 1).count() == 0
+
+
 # p8
 
 
@@ -167,6 +177,9 @@ def test_mix(spark):
     got = {r["source"]: r for r in report.collect()}
     assert got["small"]["rate"] == 3.0 and got["small"]["n_emitted"] == 60 and abs(got["big"]["actual_share"] - 0.5) < 0.1 and got["none"]["n_emitted"] == 0
     assert sorted(tuple(r) for r in M.mix(df, target)[0].collect()) == sorted(tuple(r) for r in rows)
+    # a larger total: the small source ends at its bound and its shortfall is told
+    more = {r["source"]: r for r in M.mix(df, target, total=2_000)[1].collect()}
+    assert more["small"]["rate"] == 3.0 and more["small"]["shortfall"] == 1000 - more["small"]["tokens_emitted"] > 0 and more["big"]["tokens_emitted"] > got["big"]["tokens_emitted"]
     assert M.mix(df.where("false"), target)[0].count() == 0 and M.mix(df, target.where("false"))[0].count() == 0
 
 
@@ -206,3 +219,19 @@ def test_hidden_limit_is_found(spark):
     share = {r["source"]: r["n_texts"] for r in T.shares(seen, cut).collect()}
     assert share == {"s": 190, None: 1}
     assert T.find(df.where("false"))[1].count() == 0
+
+
+def test_limits_of_several_encodings(spark):
+    """One source cut at 400 characters and, on another way, at 300 bytes; every cut row tells its limit."""
+    rng = random.Random(2)
+    word = lambda abc: "".join(rng.choice(abc) for _ in range(rng.randint(2, 8)))
+    line = lambda n, abc: " ".join(word(abc) for _ in range(n)).capitalize()
+    docs = [(i, line(rng.randint(20, 90), "abcdefgh") + ".", "s") for i in range(150)]
+    docs += [(1000 + i, line(150, "abcdefgh")[:400], "s") for i in range(40)]
+    docs += [(2000 + i, line(150, "abcdéü").encode()[:300].decode(errors="ignore"), "s") for i in range(40)]
+    docs += [(3000, "The text stopped within a long sentence of wor", None)]
+    seen, cut = T.find(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    found = {(r["encoding"], r["limit"]) for r in T.limits(seen).where("best").collect()}
+    assert ("chars", 400) in found and any(e == "utf8" and 298 <= n <= 300 for e, n in found)
+    rows = {r["doc_id"]: (r["encoding"], r["limit"]) for r in cut.collect()}
+    assert rows[1003] == ("chars", 400) and rows[2003][0] == "utf8" and rows[3000] == (None, None)
