@@ -112,6 +112,19 @@ def section_ancestors(s: Column | str) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
 
 
+def section_keys(s: Column | str) -> Column:
+    """All sections whose family a label is in (:func:`section_matches`): itself, and what stands before a dot of it or of a part behind "|"."""
+    strict = lambda e: F.filter(section_ancestors(e), lambda x, i: i > 0)
+    return F.array_distinct(F.concat(F.array(_c(s)), F.flatten(F.transform(F.split(_c(s), r"\|"), strict))))
+
+
+def path_section_keys(path: Column | str) -> Column:
+    """All sections that a path mentions (:func:`path_mentions_section`): dotted ones, and those run together behind "#"."""
+    found = F.regexp_extract_all(F.coalesce(_c(path), F.lit("")), F.lit(r"\d+(?:\.\d+)+|\d{4,}"), F.lit(0))
+    starts = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.concat(F.lit("#"), F.substring(t, F.lit(1), n)))
+    return F.array_distinct(F.flatten(F.transform(found, lambda t: F.when(F.contains(t, F.lit(".")), section_ancestors(t)).otherwise(starts(t)))))
+
+
 def path_mentions_section(path: Column | str, section: Column | str) -> Column:
     """Whether a path holds the section number, dotted or run together (4.2.1.1 or 4211...), or a descendant."""
     m = _c(section)
@@ -141,7 +154,7 @@ def section_title(c: Column | str, number: Column | str) -> Column:
 def resolve_target(section: Column | str) -> Column:
     """Written-summary numbers 2.4.x to the matching tabulated numbers, others as they are; blank gives 2.6."""
     s = F.coalesce(blank_to_null(section), F.lit("2.6"))
-    return F.when(F.startswith(s, F.lit("2.4")), F.concat(F.lit("2.6"), F.substring(s, 4, 100))).otherwise(s)
+    return F.when(F.startswith(s, F.lit("2.4")), F.concat(F.lit("2.6"), F.substring(s, 4, 2**31 - 1))).otherwise(s)
 
 
 def element_number(c: Column | str) -> Column:
@@ -258,7 +271,7 @@ def clip_at_word(c: Column | str, n: int) -> Column:
     """At most ``n`` characters, cut at the last blank."""
     t = _c(c)
     head = F.substring(t, 1, n)
-    return F.when(F.length(t) > n, F.when(F.contains(head, F.lit(" ")), F.rtrim(F.regexp_replace(head, r"\s+\S*$", ""))).otherwise(head)).otherwise(t)
+    return F.when(F.length(t) > n, F.when(F.contains(head, F.lit(" ")), F.regexp_replace(head, "(?s) [^ ]*$", "")).otherwise(head)).otherwise(t)
 
 
 def slug(c: Column | str, empty: str = "unknown") -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import alnum_key, module_number, path_mentions_section, section_matches, short_module
+from docquarry.functions.text import alnum_key, module_number, path_section_keys, section_keys, short_module
 
 
 def page_coverage(pages: DataFrame, key: str = "source_document_id") -> DataFrame:
@@ -64,17 +64,17 @@ def section_gaps(required: DataFrame, section: str, evidence: dict[str, tuple[Da
     """section, one count per kind of evidence, and missing.
 
     ``evidence``: name -> (rows, column, is_path): section labels meet the section and its
-    descendants, paths those that mention it. ``required`` is a template (checked: at most
-    10,000 sections), so it is sent to the evidence instead of shuffling that.
+    descendants, paths those that mention it. Labels are counted once, then expanded to the
+    sections they may meet for an equi-join.
     """
-    need = required.select(section).distinct()
-    if need.count() > 10_000:
-        raise ValueError("more required sections than a template holds")
+    need = required.select(section).where(F.col(section) != "").distinct()
     out = need
     for name, (df, column, is_path) in evidence.items():
-        label = df.select(F.col(column).alias("__e")).where("__e is not null").groupBy("__e").agg(F.count("*").alias("__n"))
-        match = path_mentions_section("__e", section) if is_path else section_matches("__e", section)
-        counted = label.join(F.broadcast(need), match).groupBy(section).agg(F.sum("__n").alias(f"n_{name}"))
+        label = df.select(F.col(column).alias("__e")).where("__e is not null and __e <> ''").groupBy("__e").agg(F.count("*").alias("__n"))
+        keys = path_section_keys("__e") if is_path else section_keys("__e")
+        wanted = need.select(section, F.explode(F.array(F.col(section), F.concat(F.lit("#"), F.replace(section, F.lit("."), F.lit("")))) if is_path else F.array(section)).alias("__k"))
+        met = label.withColumn("__k", F.explode(keys)).join(wanted, "__k").select("__e", "__n", section)
+        counted = (met.distinct() if is_path else met).groupBy(section).agg(F.sum("__n").alias(f"n_{name}"))
         out = out.join(counted, section, "left").fillna(0, [f"n_{name}"])
     total = reduce(lambda a, b: a + b, [F.col(f"n_{n}") for n in evidence])
     return out.withColumn("missing", total == 0)

@@ -35,7 +35,7 @@ def latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
 
 def round_robin(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """``n`` rows: one of each group (in group order) in every round."""
-    ranked = df.withColumn("round", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    ranked = df.withColumn("round", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("round") <= n)
     return ranked.orderBy("round", group).limit(n)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docquarry.cluster import checkpointed
 from docquarry.functions.text import section_ancestors
 
 
@@ -68,14 +69,15 @@ def family_join(left: DataFrame, section: str, families: DataFrame, family: str)
     return up.join(families.select(F.col(family).alias("__a"), F.col(family).alias(f"{family}_family")).distinct(), "__a").drop("__a")
 
 
-def tree_paths(nodes: DataFrame, key: str, parent: str, most: int = 32) -> DataFrame:
-    """key, root, depth, path of a self-referencing tree, level by level; cycles and orphans are not reached."""
+def tree_paths(nodes: DataFrame, key: str, parent: str, most: int = 1_000) -> DataFrame:
+    """key, root, depth, path of a self-referencing tree, level by level; cycles and orphans are not reached. A tree deeper than ``most`` is an error."""
     level = nodes.where(F.col(parent).isNull()).select(F.col(key), F.col(key).alias("root"), F.lit(0).alias("depth"), F.array(F.col(key)).alias("path"))
     out = level
     for _ in range(most):
         up = level.select(F.col(key).alias("__p"), "root", "depth", "path")
         level = nodes.join(up, F.col(parent) == F.col("__p")).select(F.col(key), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.col(key))).alias("path"))
+        level = checkpointed(level)  # else each level computes all before it again
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"the tree is deeper than {most} levels")

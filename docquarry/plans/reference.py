@@ -76,14 +76,10 @@ def distinct_findings(ncd_finding):
     return R.ordered_distinct_list(rows, ["study_id"], F.col("v"), [F.col("id")], 8)
 
 
-@query("""select c_custkey, c_name from (select c_custkey, c_name from customer order by cast(regexp_extract(c_name, '[0-9]+') as bigint) desc, c_custkey limit 100)""")
-def natural_order_last(customer):
-    return customer.orderBy(F.desc(X.natural_key("c_name")), "c_custkey").limit(100).select("c_custkey", "c_name")
-
-
-@query("""select c_custkey, c_name, row_number() over (order by cast(regexp_extract(c_name, '[0-9]+') as bigint), c_custkey) as rank from customer""")
+@query("""select c_custkey, 'Study' || c_custkey || case when c_custkey % 2 = 0 then '-b2' else '-b10' end as name, row_number() over (order by c_custkey) as rank from customer""")
 def natural_order(customer):
-    return R.ranked(customer.select("c_custkey", "c_name"), [X.natural_key("c_name"), F.col("c_custkey")])
+    name = F.concat(F.lit("Study"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, "-b2").otherwise("-b10"))
+    return R.ranked(customer.select("c_custkey", name.alias("name")), [X.natural_key("name"), F.col("c_custkey")])
 
 
 # Joins
@@ -503,6 +499,14 @@ def html_by_region(nation):
     return B.html_rows(nation, ["n_regionkey"], ["n_nationkey", "n_name"], [F.col("n_nationkey")])
 
 
+@query("""with need as (select unnest(['4.2.1', '4.2.2', '4.2.3', '4.2.3.1', '4.2.3.7']) as sec), f as (select file_name || ' ' || coalesce(replace(ctd_section, '.', ''), 'x') as p from ncd_source_document where file_name is not null)
+ select sec, (select count(*) from f where len(list_filter(regexp_extract_all(p, '\\d+(?:\\.\\d+)+|\\d{4,}'), lambda t: case when contains(t, '.') then t = sec or starts_with(t, sec || '.') else starts_with(t, replace(sec, '.', '')) end)) > 0) as n_paths from need""")
+def sections_in_paths(ncd_source_document):
+    need = ncd_source_document.sparkSession.createDataFrame([(s,) for s in ("4.2.1", "4.2.2", "4.2.3", "4.2.3.1", "4.2.3.7")], "sec string")
+    path = F.concat_ws(" ", "file_name", F.coalesce(F.replace("ctd_section", F.lit("."), F.lit("")), F.lit("x")))
+    return Q.section_gaps(need, "sec", {"paths": (ncd_source_document.where("file_name is not null").select(path.alias("p")), "p", True)}).select("sec", "n_paths")
+
+
 @query("""with need as (select unnest(['4.2.1', '4.2.2', '4.2.3', '4.2.3.1', '4.2.3.7']) as sec), c as (select regexp_replace(regexp_replace(nullif(trim(section_label, ' '), ''), '^(?:section|sec\\.?)\\s*', '', 'i'), '[.\\s]+$', '') as s from ncd_text_chunk),
  l as (select case when regexp_matches(s, '^[0-9]{2,6}$') then array_to_string(string_split(s, ''), '.') else s end as s from c)
  select sec, (select count(*) from l where s = sec or starts_with(s, sec || '.')) as n_chunks, (select count(*) from ncd_source_document where ctd_section = sec or starts_with(ctd_section, sec || '.')) as n_files,

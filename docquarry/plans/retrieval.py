@@ -543,3 +543,84 @@ def first_engine_with_text(ncd_document_page):
     engines = [("a", p.withColumn("text", F.lit(" "))), ("b", p), ("c", p)]
     name, _ = I.first_with_text(engines, "page_number", "text", 3)
     return ncd_document_page.sparkSession.createDataFrame([(name,)], "engine string")
+
+
+# Derived contexts
+
+
+@query("""with c as (select distinct id, raw_text as t, offset_start as a from ncd_text_chunk where raw_text is not null and offset_start is not null) select id, row_number() over (order by id) as n, substr(t, 11, 50) as slice from c""")
+def section_chunks(ncd_text_chunk):
+    """Spans with an index from 1 and their slice of the text."""
+    c = ncd_text_chunk.where("raw_text is not null and offset_start is not null").select("id", "raw_text").distinct()
+    return R.ranked(c, [F.col("id")]).select("id", F.col("rank").alias("n"), X.text_slice("raw_text", F.lit(10), F.lit(60)).alias("slice"))
+
+
+@query("""with f as (select distinct id, organ_system as g, organ, finding_term as t, severity as s from ncd_finding), r as (select g, id, (case when trim(coalesce(organ, ''), ' ') <> '' then 1 else 0 end) + (case when trim(coalesce(t, ''), ' ') <> '' then 1 else 0 end) + (case when trim(coalesce(s, ''), ' ') <> '' then 1 else 0 end) as n, regexp_replace(lower(coalesce(organ, '') || coalesce(t, '') || coalesce(s, '')), '[^a-z0-9]', '', 'g') as k from f)
+ select g as organ_system, count(*) as n_rows, count(*) filter (n <= 1) as n_sparse, count(*) - count(distinct k) as n_duplicates from r group by 1""")
+def table_quality(ncd_finding):
+    """Rows, sparse rows and near-duplicates of each table."""
+    f = ncd_finding.select("id", "organ_system", "organ", "finding_term", "severity").distinct()
+    k = X.alnum_key(F.concat(*[F.coalesce(c, F.lit("")) for c in ("organ", "finding_term", "severity")]))
+    return f.withColumn("n", P.filled(f, ["organ", "finding_term", "severity"])).withColumn("k", k).groupBy("organ_system").agg(F.count("*").alias("n_rows"), F.count_if(F.col("n") <= 1).alias("n_sparse"), (F.count("*") - F.count_distinct("k")).alias("n_duplicates"))
+
+
+@query("""select doc_id, source, case when length(text) > 300 then rtrim(left(text, 300)) || '...' else coalesce(text, '') end as preview, case when length(text) > 50 then case when contains(left(text, 50), ' ') then regexp_replace(left(text, 50), '(?s) [^ ]*$', '') else left(text, 50) end else text end as clipped from documents""")
+def slim_sources(documents):
+    return documents.select("doc_id", "source", F.coalesce(X.clip("text", 300, "..."), F.lit("")).alias("preview"), X.clip_at_word("text", 50).alias("clipped"))
+
+
+@query("""select section_label as section, id from (select distinct section_label, id from ncd_text_chunk where section_label is not null) join (select unnest(['4.2.1.1', '4.2.2.3']) as s) on s = section_label""")
+def ids_of_sections(ncd_text_chunk):
+    """Known sections of each version by number; unknown ones are skipped."""
+    known = ncd_text_chunk.sparkSession.createDataFrame([("4.2.1.1",), ("4.2.2.3",), ("9.9",)], "section string")
+    return ncd_text_chunk.select(F.col("section_label").alias("section"), "id").distinct().join(known, "section").select("section", "id")
+
+
+@query("""select source_document_id, string_agg(t, chr(10) || chr(10) order by n, t) as text from (select distinct source_document_id, page_number as n, trim(text, ' ') as t from ncd_document_page where page_number <= 3 and trim(coalesce(text, ''), ' ') <> '') group by 1""")
+def sample_texts(ncd_document_page):
+    """The text of the first three pages that have any, joined by blank lines."""
+    p = ncd_document_page.where("page_number <= 3 and trim(coalesce(text, '')) <> ''").select("source_document_id", "page_number", F.trim("text").alias("t")).distinct()
+    return p.groupBy("source_document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+
+
+@query("""select n_nationkey, least(n_nationkey, 4) as kept from nation""")
+def budgeted_contexts(nation):
+    """How many of a list's items fit a budget: the first tier whose text does."""
+    items = F.array_repeat(F.lit("12345"), F.col("n_nationkey"))
+    tiers = (24, 12, 4, 2)
+    size = lambda n: F.length(F.array_join(F.slice(items, 1, n), ""))
+    fits = F.coalesce(*[F.when(size(n) <= 24, F.least(F.col("n_nationkey"), F.lit(n))) for n in tiers])
+    return nation.select("n_nationkey", fits.cast("int").alias("kept"))
+
+
+def sidecar_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written beside their keys and read back."""
+    import uuid
+
+    from docquarry.cluster import shared_dir
+    from docquarry.tables import table
+
+    path = f"{shared_dir(spark).rstrip('/')}/sidecars-{uuid.uuid4().hex}"
+    O.sidecars(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("key"), "text"), "key", "text", path)
+    return spark.read.schema("key string, text string").json(path).select(F.col("key").cast("bigint").alias("doc_id"), F.length("text").alias("n"))
+
+
+QUERIES["sidecar_files"] = sidecar_files
+SQL["sidecar_files"] = "select doc_id, length(text) as n from documents where text is not null"
+
+
+def saved_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A table written as CSV and JSON, and its manifest."""
+    import uuid
+
+    from docquarry.cluster import shared_dir
+    from docquarry.tables import table
+
+    path = f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    made = O.save_table(table(spark, d, "nation"), path)
+    back = spark.read.option("header", True).csv(f"{path}/csv").agg(F.count("*").alias("n_csv"))
+    return made.select("columns", "n_rows", F.size("preview").alias("n_preview"), back.scalar().alias("n_csv"))
+
+
+QUERIES["saved_tables"] = saved_tables
+SQL["saved_tables"] = "select ['n_nationkey', 'n_name', 'n_regionkey'] as columns, count(*) as n_rows, 10 as n_preview, count(*) as n_csv from nation"

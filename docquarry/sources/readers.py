@@ -46,7 +46,7 @@ def distinct_keys(listing: DataFrame, prefix: str = "", direct_only: bool = Fals
     """One row per key under a prefix, the last listed one, in order of keys."""
     under = listing.where(F.col("key").startswith(prefix))
     if direct_only:
-        under = under.where(~F.contains(F.substring(F.col("key"), len(prefix) + 1, 4096), F.lit("/")))
+        under = under.where(~F.contains(F.substring(F.col("key"), len(prefix) + 1, 2**31 - 1), F.lit("/")))
     return under.withColumn("__n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("position")))).where("__n = 1").drop("__n").orderBy("key")
 
 
