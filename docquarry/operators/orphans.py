@@ -99,7 +99,7 @@ def orphans(parent: DataFrame, refs: DataFrame, parents_per_range: int = PARENTS
     once = stored(unique_parents(parent), "parents")
     ranges = max(1, -(-once.count() // parents_per_range))
     place = lambda df: df.withColumn("digest", F.xxhash64("parent", "ref_key")).withColumn("range", F.floor((F.col("digest") / F.lit(2.0**64) + 0.5) * ranges).cast("int"))
-    placed, probed = place(once), stored(place(refs.dropDuplicates(["table_name", "field_name", "record_id", "ref_key"])), "references")
+    placed, probed = place(once), stored(place(refs), "references")
     parts = {r["range"]: -(-r["count"] // references_per_part) for r in probed.groupBy("range").count().collect()}  # one row per range
     split = {k: v for k, v in parts.items() if v > 1}
     if split:
@@ -108,10 +108,11 @@ def orphans(parent: DataFrame, refs: DataFrame, parents_per_range: int = PARENTS
         placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
     else:
         probed, placed = probed.withColumn("part", F.lit(0)), placed.withColumn("part", F.lit(0))
-    return placed.groupBy("range", "part").cogroup(probed.groupBy("range", "part")).applyInArrow(
+    found = placed.groupBy("range", "part").cogroup(probed.groupBy("range", "part")).applyInArrow(
         lambda left, right: _probe(left, right),
         "table_name string, field_name string, record_id string, ref_key string, at timestamp_ntz, state string",
     )
+    return found.dropDuplicates(["table_name", "field_name", "record_id", "ref_key"])
 
 
 def orphan_counts(found: DataFrame, totals: DataFrame) -> DataFrame:
