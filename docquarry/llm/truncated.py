@@ -118,7 +118,9 @@ def limits(inspected: DataFrame, least: int = 8, deviations: float = 6.0, around
     texts = inspected.where("lengths is not null and ending <> 'empty'").select(F.col(key).alias("__key"), F.coalesce("source", F.lit(_NO_SOURCE)).alias("source"), F.posexplode("lengths").alias("e", "length"))
     sized = texts.groupBy("source", "e", "length").agg(F.count("*").alias("n"))
     w = W.partitionBy("source", "e").orderBy("length")
-    near = sized.withColumn("wide", F.sum("n").over(w.rangeBetween(-around, around))).withColumn("close", F.sum("n").over(w.rangeBetween(-4, 4))).withColumn("over", F.sum("n").over(w.rangeBetween(1, W.unboundedFollowing))).withColumn("all", F.sum("n").over(W.partitionBy("source", "e")))
+    near = sized.withColumn("wide", F.sum("n").over(w.rangeBetween(-around, around))).withColumn("close", F.sum("n").over(w.rangeBetween(-4, 4))).withColumn("all", F.sum("n").over(W.partitionBy("source", "e")))
+    # what lies over a length is the rest of a running sum: a frame to the end would be summed anew for every row
+    near = near.withColumn("over", F.col("all") - F.sum("n").over(w.rangeBetween(W.unboundedPreceding, 0)))
     usual = (F.col("wide") - F.col("close")) / (2 * around - 8)
     spikes = stored(near.where(F.col("n") >= usual + least + deviations * F.sqrt(usual)), "spikes")
     # each text at spikes speaks for one of them
