@@ -370,8 +370,8 @@ class Vocabulary:
             before, after = (_lower(tokens[n - 1]) if n else None), (_lower(tokens[n + 1]) if n + 1 < len(tokens) else None)
             triple = (before, token, after)
             if triple not in self.triples:
-                w = token.lower()
-                self.triples[triple] = any(self.fits(before, m, after) >= 20 for m in mates_in_use(self.count(w), self.candidates(w)))
+                # marks between the words may part it from a neighbour
+                self.triples[triple] = any(self.by_context(x, token, y) is not None for x, y in ((before, after), (before, None), (None, after)))
             if self.triples[triple]:
                 return True
         return False
@@ -705,35 +705,39 @@ def read_page(text: str | None, layout: bool, furniture: list[int], v: Vocabular
     for k, i in enumerate(body):
         line = out[i]
         after = out[body[k + 1]].text if k + 1 < len(body) else None
-        if carried is None and line.text.rstrip()[-1:] not in _MARKS and not ("-" in line.text and _CODE.search(line.text)) and not v.any_open(_WORD.findall(line.text)):
-            continue
-        spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(line.text)]
+        tokens = _WORD.findall(line.text)
+        coded = "-" in line.text and _CODE.search(line.text) is not None
         if layout and (m := divided_end(line.text)):
             line.divided = _is_divided(m[1], m[2], _tail(after), v)
         first = 0
         if carried is not None:
             j, head = carried
-            if spans:
-                word = head + spans[0][2]
+            if tokens:
+                word = head + tokens[0]
                 if fix := v.meant(word):
                     # the line where the parts differ from the word meant
                     if not _same_start(fix, head):
                         out[j].garbled = True
                         out[j].fixes.append((-1, -1, fix))
-                    if not _same_end(fix, spans[0][2]):
+                    if not _same_end(fix, tokens[0]):
                         line.garbled = True
                     if out[j].garbled or line.garbled:
                         out[j].fixes.append((-1, -1, fix))
                 first = 1
             carried = None
-        if line.divided and spans:
-            carried = (i, spans[-1][2])
+        if line.divided and tokens:
+            carried = (i, tokens[-1])
+        if not coded and not v.any_open(tokens):
+            continue
+        spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(line.text)]
         inner = spans[first : len(spans) - 1 if line.divided else len(spans)]
-        codes = [m.span() for m in _CODE.finditer(line.text)] if "-" in line.text else []
+        codes = [m.span() for m in _CODE.finditer(line.text)] if coded else []
         for n, (a, b, token) in enumerate(inner):
-            if token.isdigit() or (not codes and not v.kind(token)):
+            if token.isdigit():
+                continue
+            inside = next((c for c in codes if c[0] <= a and b <= c[1]), None) if codes else None
+            if not inside and not v.kind(token):
                 continue
-            inside = next((c for c in codes if c[0] <= a and b <= c[1]), None)
             if inside:  # of a code only the digits can be judged
                 fix = token.translate(_AS_DIGIT) if a > inside[0] and any(c.isdigit() for c in token) else None
             else:
