@@ -44,6 +44,8 @@ def ratio(word: str) -> int:
 
 #: Lines looked at on either edge of a page (blank ones apart), and the longest line of a page with layout.
 EDGE, WIDEST = 3, 130
+#: States of automata that step through the trie at once.
+FRONT = 8_192
 #: Words of a running header or footer at most (spaced letters apart).
 HEADER_WORDS = 7
 
@@ -247,8 +249,9 @@ class Trie:
         group = np.array([[-1, -1, *(ord(_GROUP_LOOKS[w[j - 2 : j]]) if w[j - 2 : j] in _GROUP_LOOKS else -1 for j in range(2, length + 1))] for w in plain], np.int32).T
         q, node = np.arange(len(words)), np.zeros(len(words), np.int64)
         row = np.repeat((EDIT * np.arange(length + 1, dtype=np.int16))[:, None], len(words), axis=1)
-        last = np.full_like(row, far)
-        while len(q):
+        waiting = [(q, node, row, np.full_like(row, far))]
+        while waiting:
+            q, node, row, last = waiting.pop()
             times = self.count[node]
             rep = np.repeat(np.arange(len(q)), times)
             step = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
@@ -268,7 +271,8 @@ class Trie:
             for cost, i, e in zip(new[length][ends].tolist(), q[ends].tolist(), self.entry[child[ends]].tolist(), strict=True):
                 yield cost, words[i], self.words[e]
             keep = np.flatnonzero((new.min(axis=0) <= most) | (self.opens[child] & (old.min(axis=0) < most)))
-            q, node, row, last = q[keep], child[keep], new[:, keep], old[:, keep]
+            # a wide front is taken in pieces, so that memory stays small
+            waiting += [(q[k], child[k], new[:, k], old[:, k]) for k in np.array_split(keep, -(-len(keep) // FRONT))] if len(keep) else []
 
 
 @dataclass
@@ -530,8 +534,10 @@ def _stamp(line: str) -> bool:
         s = "".join(s.split())
     if not any(c.isalnum() for c in s):
         return len(s) <= 20
+    if s[-1] in ".:;,)%" or len(s.split()) > 5:  # most lines end here
+        return False
     letters = [c for c in s if c.isalpha()]
-    return len(letters) >= 4 and sum(c.isupper() or c == "l" for c in letters) >= 0.9 * len(letters) and len(s.split()) <= 5 and s[-1] not in ".:;,)%" and not re.search(r"\d{2}", s)
+    return len(letters) >= 4 and sum(c.isupper() or c == "l" for c in letters) >= 0.9 * len(letters) and not re.search(r"\d{2}", s)
 
 
 def is_furniture(line: str, at_edge: bool, last: bool, alone: bool, page: int | None, forms: frozenset[str], v: Furniture) -> bool:
