@@ -44,6 +44,8 @@ def ratio(word: str) -> int:
 
 #: Lines looked at on either edge of a page (blank ones apart), and the longest line of a page with layout.
 EDGE, WIDEST = 3, 130
+#: Pages whose words are counted at once.
+AT_ONCE = 1_000
 #: States of automata that step through the trie at once.
 FRONT = 8_192
 #: Words of a running header or footer at most (spaced letters apart).
@@ -159,8 +161,8 @@ class Coded:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (by page), compounds, pairs of words, and looks of lines at edges and elsewhere, for each batch."""
-    for batch in batches:
+    """Counts of words (by page), compounds, pairs of words, and looks of lines at edges and elsewhere, for some pages at a time."""
+    for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
         flat, sizes, rest = [], [], Counter()
         for text in batch.column(0).to_pylist():
             if not text:
