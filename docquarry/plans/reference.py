@@ -76,8 +76,14 @@ def distinct_findings(ncd_finding):
     return R.ordered_distinct_list(rows, ["study_id"], F.col("v"), [F.col("id")], 8)
 
 
-@query("""select c_custkey, 'Study' || c_custkey || case when c_custkey % 2 = 0 then '-b2' else '-b10' end as name, row_number() over (order by c_custkey) as rank from customer""")
+@query("""select c_custkey, c_name, row_number() over (order by cast(regexp_extract(c_name, '[0-9]+') as bigint), c_custkey) as rank from customer""")
 def natural_order(customer):
+    return R.ranked(customer.select("c_custkey", "c_name"), [X.natural_key("c_name"), F.col("c_custkey")])
+
+
+@query("""select c_custkey, 'Study' || c_custkey || case when c_custkey % 2 = 0 then '-b2' else '-b10' end as name, row_number() over (order by c_custkey) as rank from customer""")
+def natural_order_unpadded(customer):
+    """Names whose numbers have no leading zeros, so that plain text order differs."""
     name = F.concat(F.lit("Study"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, "-b2").otherwise("-b10"))
     return R.ranked(customer.select("c_custkey", name.alias("name")), [X.natural_key("name"), F.col("c_custkey")])
 
