@@ -1,5 +1,9 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
+from docquarry.functions import fuzzy as Z
 from docquarry.operators import matching as M
 
 
@@ -45,3 +49,30 @@ def test_overrides_fields_and_trees(spark):
     assert M.within_budget([(3,), (2,), (1,)], lambda n: "x" * 10 * n, 25) == "x" * 20
     got = spark.createDataFrame([("2.4.1",), ("2.5",)], "s string").select(M.round_trip_sections(F.col("s"), {"2.4": "2.6", "2.4.1": "2.6.2"}).alias("o")).collect()
     assert [r["o"] for r in got] == ["2.6.2", None]
+
+
+def test_partial_ratios_of_all_titles():
+    some = random.Random(7)
+    text = lambda letters, most: "".join(some.choice(letters) for _ in range(some.randint(0, most)))
+    for letters in ("ab", "abc ", "abcdefgh é\U0001f600"):
+        for _ in range(40):
+            titles, x = [text(letters, some.choice([3, 10, 70, 130])) for _ in range(some.randint(0, 6))], text(letters + "z", some.choice([3, 10, 66, 140, 300]))
+            for kind in (Z.Titles, type("Parted", (Z.Titles,), {"LANES": 100}), type("Single", (Z.Titles,), {"LONG": 10})):
+                assert kind(titles).partial_ratios(x) == [Z.partial_ratio(t, x) for t in titles]
+
+
+def test_similar_sections_of_repeated_texts(spark):
+    some = random.Random(1)
+    words = ["".join(some.choice("abcdefghilmnoprstu") for _ in range(9)) for _ in range(40)]
+    s = spark.createDataFrame([(f"{i:06d}", f"{some.choice(words)} {some.choice(words)}") for i in range(64)], "n string, t string")
+    texts = sorted({f"{some.choice(words)} {some.choice(words)}" for _ in range(2_000)})[:600]
+    df = spark.createDataFrame([(i, texts[i % 600]) for i in range(12_000)] + [(-1, None), (-2, " ")], "id int, x string")
+    began = time.time()
+    got = M.similar_sections(df, "id", "x", s, "n", "t", 100).cache()
+    assert got.count() == 12_000 * 64 and got.where("id < 0").count() == 0
+    assert time.time() - began < 60  # 12,000 texts one by one take minutes
+    few = [(r["n"], r["t"]) for r in s.collect()]
+    for i in (0, 599, 1_777):
+        want = sorted((-max(Z.partial_ratio(t, texts[i % 600]), Z.partial_ratio(f"{n} {t}", texts[i % 600])), n) for n, t in few)
+        assert [(r["rank"], r["number"], r["score"]) for r in got.where(F.col("id") == i).orderBy("rank").collect()] == [(k, n, round(-v / 100, 3)) for k, (v, n) in enumerate(want, 1)]
+    got.unpersist()
