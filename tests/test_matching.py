@@ -76,3 +76,43 @@ def test_similar_sections_of_repeated_texts(spark):
         want = sorted((-max(Z.partial_ratio(t, texts[i % 600]), Z.partial_ratio(f"{n} {t}", texts[i % 600])), n) for n, t in few)
         assert [(r["rank"], r["number"], r["score"]) for r in got.where(F.col("id") == i).orderBy("rank").collect()] == [(k, n, round(-v / 100, 3)) for k, (v, n) in enumerate(want, 1)]
     got.unpersist()
+
+
+def _best_one_by_one(pairs, text, least=70.0):
+    found = [(-s, c) for c, label in pairs if (s := Z.token_set_ratio(text.lower(), label.lower())) >= least]
+    return (min(found)[1], -min(found)[0]) if found else None
+
+
+def test_best_label_as_one_by_one():
+    some = random.Random(3)
+    for _ in range(400):
+        letters = some.choice(["ab", "abcdeé\U0001f600", "ABc", "0123-Q"])
+        words = ["".join(some.choice(letters) for _ in range(some.randint(1, some.choice([2, 6, 30])))) for _ in range(some.randint(1, 8))]
+        phrase = lambda: " ".join(some.choice(words) for _ in range(some.randint(0, some.choice([1, 3, 6]))))  # noqa: B023, E731
+        pairs = [(some.choice("pqrst"), phrase()) for _ in range(some.randint(0, 12))]
+        for least in (0.0, 30.0, 70.0, 100.0):
+            text = phrase() + some.choice(["", letters[0]])
+            assert Z.Labels(pairs).best(text, least) == _best_one_by_one(pairs, text, least)
+
+
+def test_best_by_labels_of_many_candidates(spark):
+    some = random.Random(5)
+    words = ["".join(some.choice("abcdefghilmnoprstu") for _ in range(8)) for _ in range(60)]
+    phrase = lambda n: " ".join(some.choice(words) for _ in range(n))
+    listed = [(f"AB{i % 90:02d}-{i:07d}", [phrase(some.randint(1, 3)), None] if i % 3 else None) for i in range(6_000)]
+    c = spark.createDataFrame(listed, "c string, labels array<string>")
+    texts = [f"see {listed[i][0]}.pdf" for i in range(0, 6_000, 60)] + [phrase(some.randint(1, 5)) for _ in range(60)] + ["AB01-9000001", "on AB01-9000001 and others", "zzzz", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    pairs = [(i, label) for i, labels in listed for label in (i, *(x for x in labels or [] if x is not None))]
+    want = {}
+    for i, t in enumerate(texts):
+        if i < 100:
+            want[i] = (listed[i * 60][0], 101.0)
+        elif t is not None and (best := _best_one_by_one(pairs, t)):
+            want[i] = best
+    want.setdefault(161, ("AB01-9000001", -1.0))
+    assert len(want) > 150 and want[160][1] > 70  # an unknown id has a near label
+    for shard in (None, 700):  # more labels than one list had; in one shard and in many
+        assert {r["id"]: (r["candidate"], r["score"]) for r in M.best_by_labels(df, "id", "t", c, "c", "labels", shard=shard).collect()} == want
+    exact = df.where("id < 100")
+    assert M.best_by_labels(exact, "id", "t", c, "c", "labels", shard=700).where("score = 101.0").count() == 100  # no text is left
