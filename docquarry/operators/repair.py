@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docquarry.cluster import stored
 from docquarry.functions.inference import meaningful_cells
 from docquarry.functions.text import blank_to_null, natural_key, study_ids
 from docquarry.operators.matching import best_by_labels
@@ -66,17 +65,16 @@ NO_STUDY = ("none", "none conducted", "not conducted")
 def with_study_ids(df: DataFrame, key: str, study: str, location: str | None, columns: list[str], candidates: DataFrame, candidate: str, labels: str) -> DataFrame:
     """``study`` filled or made canonical: from its own ids, else from the location, else from the other cells of the row.
 
-    Statements that no study was done stay. Each source is compared only for rows that those before left open.
+    Statements that no study was done stay. Each source is compared only for rows that those before left open; what
+    the first two give is stored, as one plan for all three takes more than 1.5 GB of the driver.
     """
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
     base = df.select(key, study, *([location] if location else []), *[c for c in columns if c not in (study, location)])
-    stated = F.lower(blank(study)).isin(*NO_STUDY)
-    own = base.where(~stated & (F.size(study_ids(study)) > 0)).select(key, blank(study).alias("__t"))
-    rest = base.where(~stated & (F.size(study_ids(study)) == 0))
-    parts = [own] + ([rest.where(blank(location) != "").select(key, blank(location).alias("__t"))] if location else [])
-    found = [best_by_labels(p, key, "__t", candidates, candidate, labels) for p in parts]
-    seen = reduce(DataFrame.unionByName, found)
-    left = rest.join(seen.select(key), key, "left_anti").select(key, F.concat_ws(" ", *[F.col(c).cast("string") for c in columns if c != study]).alias("__t")).where("trim(__t) <> ''")
+    open_ = base.where(~F.lower(blank(study)).isin(*NO_STUDY))
+    own = F.size(study_ids(study)) > 0
+    first = open_.select(key, F.when(own, blank(study)).otherwise(blank(location) if location else F.lit("")).alias("__t")).where("__t <> ''")
+    seen = stored(best_by_labels(first, key, "__t", candidates, candidate, labels), "seen_ids")
+    left = open_.where(~own).join(seen.select(key), key, "left_anti").select(key, F.concat_ws(" ", *[F.col(c).cast("string") for c in columns if c != study]).alias("__t")).where("trim(__t) <> ''")
     seen = seen.unionByName(best_by_labels(left, key, "__t", candidates, candidate, labels))
     return df.join(seen.select(key, F.col("candidate").alias("__c")), key, "left").withColumn(study, F.coalesce("__c", F.col(study))).drop("__c")
 

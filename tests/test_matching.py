@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import fuzzy as Z
 from docquarry.operators import matching as M
+from docquarry.operators import repair as P
 
 
 def rows(df):
@@ -116,3 +117,22 @@ def test_best_by_labels_of_many_candidates(spark):
         assert {r["id"]: (r["candidate"], r["score"]) for r in M.best_by_labels(df, "id", "t", c, "c", "labels", shard=shard).collect()} == want
     exact = df.where("id < 100")
     assert M.best_by_labels(exact, "id", "t", c, "c", "labels", shard=700).where("score = 101.0").count() == 100  # no text is left
+
+
+def test_study_ids_among_many_candidates(spark):
+    listed = [(f"AB{i % 90:02d}-{i:07d}", ["arthritis of rabbits"] if i == 7 else None) for i in range(6_000)]
+    c = spark.createDataFrame(listed, "c string, labels array<string>")
+    rows = [
+        (1, "Study AB05-0000005", None, None, "AB05-0000005"),
+        (2, "None conducted", "AB05-0000005", "AB05-0000005", "None conducted"),
+        (3, "", "Module 4 AB06-0000006 report", "AB05-0000005", "AB06-0000006"),
+        (4, "?", None, "as in AB09-0000009", "AB09-0000009"),
+        (5, "QX77-TOX-204", None, None, "QX77-TOX-204"),
+        (6, " ", "arthritis of rabbit", None, "AB07-0000007"),
+        (7, None, " ", None, None),
+        (8, "-", "nothing here", "AB10-0000010", "AB10-0000010"),
+    ]
+    df = spark.createDataFrame([r[:4] for r in rows], "id int, study string, location string, other string")
+    got = P.with_study_ids(df, "id", "study", "location", ["study", "location", "other"], c, "c", "labels")
+    assert {r["id"]: r["study"] for r in got.collect()} == {r[0]: r[4] for r in rows}
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("Join") <= 12  # more with all sources in one plan
